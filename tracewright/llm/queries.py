@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import mix as mixing
 from tracewright.llm import pack as packing
-from tracewright.llm import radix, split
+from tracewright.llm import pairs, radix, spam, split
 from tracewright.llm.tokens import token_count
 from tracewright.session import settle, table
 
@@ -80,6 +80,33 @@ SELECT source, metric, CAST(p AS DOUBLE) AS p, n AS n_values, round(CAST(q AS DO
  SELECT source, metric, count(*) AS n, unnest([0.5, 0.9, 0.99]) AS p, unnest(quantile_disc(value, [0.5, 0.9, 0.99])) AS q FROM w GROUP BY source, metric)"""
 )
 
+# ---- Problems 4 and 5
+
+
+def _answered(spark: SparkSession, folder: str) -> DataFrame:
+    r = table(spark, folder, "results").where("error is null")
+    return r.select("result_id", mixing.source_key(F.col("source")).alias("source"), "question", "prompt", "response", "gold_answer")
+
+
+def p4_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every response's probability of being cut, and the decision."""
+    return pairs.cut_rows(_answered(spark, folder))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_scores(spark, folder).where("is_cut").select("result_id")
+
+
+def p4_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source (null: none given), the share of its responses that were cut."""
+    n = p4_scores(spark, folder).groupBy("source").agg(F.count(F.lit(1)).alias("n_responses"), F.sum(F.col("is_cut").cast("bigint")).alias("n_cut"))
+    return n.withColumn("cut_share", F.col("n_cut") / F.col("n_responses"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.broken_pairs(_answered(spark, folder))
+
+
 # ---- Problem 6
 
 
@@ -126,11 +153,25 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_shares(spark, folder).where("is_short").select("source")
 
 
+# ---- Problem 8
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.spam_pages(table(spark, folder, "documents"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_scores(spark, folder).where("is_spam").select("doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_pieces": p1_pieces,
     "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p3_exact": p3_exact,
+    "p4_found": p4_found, "p4_scores": p4_scores, "p4_sources": p4_sources,
+    "p5_found": p5_found,
     "p6_found": p6_found, "p6_sequences": p6_sequences, "p6_fill": p6_fill,
     "p7_found": p7_found, "p7_uses": p7_uses, "p7_shares": p7_shares,
+    "p8_found": p8_found, "p8_scores": p8_scores,
 }
 
 ORACLE = {"p1_found": P1_SQL, "p3_exact": P3_EXACT_SQL}
