@@ -42,7 +42,7 @@ def unpad(ids: Column, mask: Column) -> Column:
 
 
 def with_eos(ids: Column, eos: int) -> Column:
-    return F.when(F.coalesce(F.element_at(ids, F.lit(-1)) == eos, F.lit(False)), ids).otherwise(F.concat(ids, F.array(F.lit(eos).cast("int"))))
+    return F.when(F.coalesce(F.try_element_at(ids, F.lit(-1)) == eos, F.lit(False)), ids).otherwise(F.concat(ids, F.array(F.lit(eos).cast("int"))))
 
 
 def non_negative(ids: Column, instead: int = 0) -> Column:
