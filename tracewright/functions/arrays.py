@@ -82,7 +82,8 @@ def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
 
 def gae(rewards: Column, state_values: Column, gamma: float, lam: float) -> Column:
     """Generalised advantages before whitening: delta = r + gamma * next value - value, folded from the end."""
-    nxt = F.concat(F.slice(state_values, F.lit(2), F.greatest(F.size(state_values) - 1, F.lit(0))), F.array(F.lit(0.0)))
+    after = F.concat(F.slice(state_values, F.lit(2), F.greatest(F.size(state_values) - 1, F.lit(0))), F.array(F.lit(0.0)))
+    nxt = F.slice(after, F.lit(1), F.size(state_values))
     z = F.transform(F.arrays_zip(rewards.alias("r"), state_values.alias("v"), nxt.alias("n")), lambda x: x["r"] + x["n"] * gamma - x["v"])
     seed = F.struct(F.lit(0.0).alias("acc"), F.expr("cast(array() as array<double>)").alias("out"))
 

@@ -20,7 +20,8 @@ def micro_action_split(spark, folder):
 
 def span_candidates(spark, folder):
     d = spans.candidates(_r(spark, folder).where("tokens is not null").select("result_id", "response", "tokens"), "response", "tokens")
-    return d.select("result_id", F.inline("candidate_blocks"))  # fields taken after an explode would compute the blocks once for each
+    # inline_outer: an inner explode is given a filter on the array's size, which is pushed below the stages that make it.
+    return d.select("result_id", F.inline_outer("candidate_blocks")).where("block_index is not null")
 
 
 def _given(spark, folder):
