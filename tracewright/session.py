@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,12 @@ def use_checkpoints(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for one job's files beside the checkpoints, so that all executors see it."""
+    use_checkpoints(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """df written once to the shared folder, so that later reads neither compute it again nor need the
     executors that made it."""
