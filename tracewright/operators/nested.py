@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 
 
 def parent_of(label: Column) -> Column:
-    """The parent's label: the last two parts cut off. Null at a record's own label."""
-    return F.nullif(F.regexp_replace(label, r"(?:^|\.)[^.]*\.[^.]*$", ""), F.lit(""))
+    """The parent's label: the last two parts cut off. Null at a record's own label, if that has no dot."""
+    tail = F.substring_index(label, ".", -2)
+    return F.nullif(F.left(label, F.length(label) - F.length(tail) - 1), F.lit(""))
 
 
 def _paths(schema: T.StructType, prefix: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
@@ -70,7 +71,7 @@ def flat_table(df: DataFrame, id_col: str, path: str, carry: dict[str, Column] |
         if isinstance(kind, T.ArrayType):
             kind = kind.elementType
             cur = cur.select("record_id", *extra, F.col("label"), at.alias("__at"), F.posexplode(value).alias("pos", "__v"))
-            cur = cur.withColumn("parent_label", F.col("label")).withColumn("label", F.concat("label", "__at", F.lit("."), F.col("pos")))
+            cur = cur.withColumn("label", F.concat("label", "__at", F.lit("."), F.col("pos")))
             value, at = F.col("__v"), F.lit("")
         elif n == len(parts) - 1:
             raise ValueError(f"{path} is no array")
@@ -84,7 +85,7 @@ def flat_table(df: DataFrame, id_col: str, path: str, carry: dict[str, Column] |
         name = name or "value"
         return [v.alias(f"_{name}" if name in taken else name)]
 
-    return cur.select("record_id", "label", "parent_label", "pos", *extra, *scalars(kind, value, ""))
+    return cur.select("record_id", "label", parent_of(F.col("label")).alias("parent_label"), "pos", *extra, *scalars(kind, value, ""))
 
 
 def flatten(df: DataFrame, id_col: str) -> dict[str, DataFrame]:
