@@ -300,9 +300,10 @@ def broken_pairs(df: DataFrame, id_col: str = "result_id", source: str = "source
     prompt none by the prompt. Rows given twice come out twice. An empty table gives none."""
     d = cut.with_limit(df.select(id_col, F.col(source).alias("source"), "question", "prompt", "response", "gold_answer"), "source", "response")
     w = cut.model_for(d, "response", "gold_answer", sample)
-    short = settle(shortened(d, "response"))
-    few = F.broadcast(short) if short.count() <= cut.SMALL_ROWS // 50 else short  # at most a thousand texts are broadcast
-    j = d.join(few, d["response"] == short["__text"], "left").withColumn("short", F.col("__text").isNotNull()).drop("__text")
+    # Texts are told apart by a 64-bit hash and their length; 12 bytes a row, broadcast up to SMALL_ROWS.
+    short = settle(shortened(d, "response").select(F.xxhash64("__text").alias("__h"), F.length("__text").alias("__n")))
+    few = F.broadcast(short) if short.count() <= cut.SMALL_ROWS else short
+    j = d.join(few, (F.xxhash64("response") == F.col("__h")) & (F.length("response") == F.col("__n")), "left").withColumn("short", F.col("__h").isNotNull()).drop("__h", "__n")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("question", "prompt", "response", "gold_answer", "at_limit", "short")
