@@ -65,7 +65,7 @@ def test_no_copy(text):
     assert not pairs.is_copy(text, Q, PROMPT) and not pairs.is_copy(text, None, None)
 
 
-@pytest.mark.parametrize("text", ["I'm sorry, but I can't help with this task.", "<think>\n</think>\nI’d rather not answer that. I hope you understand.", "Lo siento, pero no puedo ayudar con esa solicitud.", "Je dois refuser de traiter cet exercice.", "很抱歉，我无法回答这个问题。", "It would not be appropriate for me to discuss this topic.", "Dazu möchte ich keine Auskunft geben."])
+@pytest.mark.parametrize("text", ["I'm sorry, but I can't help with this task.", "<think>\n</think>\nI’d rather not answer that. I hope you understand.", "Lo siento, pero no puedo ayudar con esa solicitud.", "Je dois refuser de traiter cet exercice.", "很抱歉，我无法回答这个问题。", "It would not be appropriate for me to discuss this topic.", "Dazu möchte ich keine Auskunft geben.", "Debo abstenerme de dar una solución a este ejercicio.", "对不起，这个请求超出了我的能力范围，请咨询老师。"])
 def test_refusal(text):
     assert pairs.is_refusal(text)
 
@@ -87,10 +87,10 @@ def test_language():
 
 
 def test_defects_one_for_each_side():
-    assert pairs.defects_of(Q, PROMPT, None, None, False, False, None) == [("response", "empty"), ("gold_answer", "empty")]
-    assert pairs.defects_of(Q, PROMPT, "It is 5.", "5", False, False, 0.0) == []
-    assert pairs.defects_of(Q, PROMPT, "It is the", "5", False, False, 0.9) == [("response", "truncated")]
-    assert pairs.defects_of(None, None, "It is 5.", Q, False, False, 0.0) == []
+    assert pairs.defects_of(Q, PROMPT, None, None, False, None) == [("response", "empty"), ("gold_answer", "empty")]
+    assert pairs.defects_of(Q, PROMPT, "It is 5.", "5", False, 0.0) == []
+    assert pairs.defects_of(Q, PROMPT, "It is the", "5", False, 0.9) == [("response", "truncated")]
+    assert pairs.defects_of(None, None, "It is 5.", Q, False, 0.0) == []
 
 
 def test_shortened_equals_brute_force(spark):

@@ -36,7 +36,7 @@ def _need(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     j = t.join(own, t["__k"] == own["__s"], "left").select(
         "source", "__k", "target_share", "max_repeats", F.coalesce("own", F.lit(0).cast("bigint")).alias("source_tokens"), F.coalesce("n_docs", F.lit(0).cast("bigint")).alias("n_documents")
     )
-    j = j.crossJoin(j.agg(F.coalesce(F.sum("source_tokens"), F.lit(0).cast("bigint")).alias("total_tokens")))  # one row
+    j = j.withColumn("total_tokens", j.agg(F.coalesce(F.sum("source_tokens"), F.lit(0).cast("bigint"))).scalar())
     want = F.col("target_share") * F.col("total_tokens")
     most = F.col("max_repeats") * F.col("source_tokens")
     j = j.withColumn("target_tokens", want).withColumn("is_short", want > most).withColumn("__use", F.least(want, most.cast("double")))
@@ -83,7 +83,7 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", source: str
     uses = uses.select(F.col("__id").alias(id_col), F.col("__name").alias("source"), "n_tokens", "uses")
     used = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("used_tokens"), F.sum((F.col("uses") > 0).cast("bigint")).alias("n_used"))
     shares = need.join(used, "source", "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0).cast("bigint")))
-    shares = shares.crossJoin(shares.agg(F.sum("used_tokens").alias("__all")))  # one row
+    shares = shares.withColumn("__all", shares.agg(F.sum("used_tokens")).scalar())
     shares = shares.select(
         "source", "target_share", "max_repeats", "n_documents", "source_tokens", "target_tokens", "used_tokens",
         F.when(F.col("__all") > 0, F.col("used_tokens") / F.col("__all")).alias("actual_share"), F.coalesce("n_used", F.lit(0).cast("bigint")).alias("n_used"), "is_short",

@@ -1,8 +1,8 @@
 """Problem 5: broken prompt and response pairs.
 
 Method: the different responses are sorted by text and compared with their neighbours' common prefixes, which
-finds shortened versions of other responses; lengths at which a source's responses pile up are its limits;
-both count as evidence for the closing of a response (problem 4's regression). Copy, refusal and language
+finds shortened versions of other responses (for them half the threshold is enough); lengths at which a
+source's responses pile up are its limits, which are a feature of problem 4's regression on the ending. Copy, refusal and language
 rules follow. Every rule reads the whole texts and is one pass without a shuffle; only the different
 texts are sorted, so that copies of one text can't make one partition large.
 """
@@ -40,17 +40,19 @@ REFUSALS = tuple(
         r"\bsomething i (?:do not|don't|can't|cannot|won't)\b",
         r"\b(?:not|in)\s?(?:be )?appropriate for me\b",
         r"\b(?:pass on this|no comment on this|leave it there|talk about something else|best if we stop|let's stop here|stop here)\b",
+        r"\b(?:beyond|outside) my (?:abilities|ability|scope|role|remit)|\bnot something i\b",
         r"\b(?:outside|beyond) (?:what i am|what i'm|the scope of what i)\b",
         r"\b(?:blocked|prohibited|restricted|forbidden|disallowed) (?:by|under) (?:\w+ )?(?:policy|policies|guidelines|rules)\b",
         r"\b(?:would be cheating|don't have an opinion|do not have an opinion|do not have a view|as an ai\b|against my (?:policy|guidelines)|too sensitive for|a matter for a professional|will not produce)\b",
         r"\b(?:lo siento|lamento|me temo|disculpa|disculpe|perdón)\b.{0,30}\bno (?:puedo|me es posible|podré|estoy)\b",
         r"\bno (?:puedo|me es posible|me está permitido|estoy autorizad[oa]|estoy en condiciones|voy a|podré|quiero|debo)\b.{0,40}\b(?:ayudar|ayudarte|responder|contestar|resolver|dar|hablar|comentar|discutir|atender|ofrecer|tratar|opinar)\w*",
-        r"\b(?:prefiero no|debo negarme|tengo que rechazar|debo rechazar|debo declinar)\b",
+        r"\b(?:prefiero no|debo negarme|tengo que rechazar|debo rechazar|debo declinar|abstenerme|me abstengo|me niego)\b",
         r"\b(?:tut mir leid|bedaure|bedauere|leider|entschuldig\w*|verzeih\w*)\b.{0,80}\b(?:nicht|keine?n?|ablehnen|unmöglich)\b",
         r"\b(?:kann|darf|möchte|werde|will)\b.{0,50}\b(?:nicht|keine?n?)\b.{0,40}\b(?:helfen|beantworten|antworten|lösen|geben|sagen|äußern|besprechen|bearbeiten|weiterhelfen|auskunft)\b",
-        r"\bmuss ich (?:ablehnen|leider)|\b(?:nicht gestattet|nicht erlaubt|muss ich ablehnen|lehne ich ab|ich lehne)\b",
+        r"\bmuss ich (?:ablehnen|leider)|\b(?:nicht gestattet|nicht erlaubt|muss ich ablehnen|lehne ich ab|ich lehne|enthalte ich mich|steht mir nicht zu)\b",
         r"\b(?:désolée?|navrée?|regrette|malheureusement)\b.{0,60}\b(?:ne peux|ne puis|ne suis|ne saurais|impossible|pas)\b",
-        r"\b(?:je ne (?:peux|puis|suis pas|saurais|souhaite|veux)|il ne m'est pas|je dois refuser|je préfère ne pas|je refuse|il m'est impossible)\b",
+        r"\b(?:je ne (?:peux|puis|suis pas|saurais|souhaite|veux)|il ne m'est pas|je dois refuser|je préfère ne pas|je refuse|il m'est impossible|m'abstenir|je m'abstiens|je décline)\b",
+        r"超出.{0,8}(?:能力|范围|权限|职责)|(?:请|建议).{0,4}咨询",
         r"(?:抱歉|对不起|很遗憾|不好意思).{0,12}(?:无法|不能|不便|不会|没法|不予)",
         r"(?:我|本人)?(?:无法|不能|不便|不可以|不会|拒绝|没法)(?:回答|帮助|提供|协助|讨论|解答|完成|处理|满足|给出|透露|就此)",
     )
@@ -234,7 +236,7 @@ def shortened(df: DataFrame, text: str) -> DataFrame:
     return found.where("kind = 'short'").select("__text").unionByName(across).distinct()
 
 
-def defects_of(question: str | None, prompt: str | None, response: str | None, gold: str | None, at_limit: bool, short: bool, p: float | None, threshold: float = cut.THRESHOLD) -> list[tuple[str, str]]:
+def defects_of(question: str | None, prompt: str | None, response: str | None, gold: str | None, short: bool, p: float | None, threshold: float = cut.THRESHOLD) -> list[tuple[str, str]]:
     """The defects of one pair, at most one for each side, the first that holds of: empty, copy, refusal, truncated, language."""
     out = []
     if is_empty(response):
@@ -243,7 +245,7 @@ def defects_of(question: str | None, prompt: str | None, response: str | None, g
         out.append(("response", "copy"))
     elif is_refusal(response):
         out.append(("response", "refusal"))
-    elif _ends_cut(response, gold, p, threshold / 3 if short or at_limit else threshold):
+    elif _ends_cut(response, gold, p, threshold / 2 if short else threshold):
         out.append(("response", "truncated"))
     else:
         want = asked_language(question)
@@ -311,7 +313,7 @@ def broken_pairs(df: DataFrame, id_col: str = "result_id", source: str = "source
             ids, sides, kinds = [], [], []
             for i, (q, pr, t, g, a, s) in zip(b.column(id_col).to_pylist(), zip(*(b.column(n).to_pylist() for n in names), strict=True), strict=True):
                 p = cut.score(w, t, g, a) if t else None
-                for side, kind in defects_of(q, pr, t, g, a, s, p):
+                for side, kind in defects_of(q, pr, t, g, s, p):
                     ids.append(i), sides.append(side), kinds.append(kind)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sides, pa.string()), pa.array(kinds, pa.string())], names=[id_col, "side", "defect"])
 

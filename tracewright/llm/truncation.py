@@ -26,7 +26,7 @@ from tracewright.session import settle
 
 SAMPLE = 6000
 DIMENSIONS = 1 << 16
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 LEAST_LIMIT = 64
 SMALL_ROWS = 50_000
 
