@@ -24,6 +24,7 @@ from tracewright.llm import truncation as cut
 from tracewright.session import settle
 
 LEAST_PREFIX = 40
+SAMPLED = 150_000
 
 # Placeholders for "nothing here", compared in lower case without brackets and stops.
 PLACEHOLDERS = frozenset(
@@ -229,7 +230,14 @@ def shortened(df: DataFrame, text: str) -> DataFrame:
         if first is not None:
             yield make([(first, "first", n), (before, "last", n)])
 
-    found = settle(s.mapInArrow(work, "__text string, kind string, part int"))
+    # The driver sees 3 x points x partitions texts to set the ranges: at most about SAMPLED of them.
+    conf, key = df.sparkSession.conf, "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = conf.get(key)
+    conf.set(key, str(max(1, min(30, SAMPLED // (3 * int(conf.get("spark.sql.shuffle.partitions")))))))
+    try:
+        found = settle(s.mapInArrow(work, "__text string, kind string, part int"))
+    finally:
+        conf.set(key, before)
     edges = found.where("kind <> 'short'").groupBy("part").agg(F.max(F.when(F.col("kind") == "first", F.col("__text"))).alias("f"), F.max(F.when(F.col("kind") == "last", F.col("__text"))).alias("l"))
     nxt = edges.withColumn("n", F.lead("f").over(Window.orderBy("part")))  # a row for each partition
     across = nxt.where(F.col("n").startswith(F.col("l"))).select(F.col("l").alias("__text"))
