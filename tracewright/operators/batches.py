@@ -167,3 +167,55 @@ def violations(df: DataFrame, key: str, *, ids: str, mask: str, values: str) ->
     }
     hit = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items())), lambda x: x.isNotNull())
     return df.select(key, F.explode(hit).alias("rule"))
+
+
+def rows(df: DataFrame, ordinal: str, start: int, stop: int) -> DataFrame:
+    """Rows start..stop - 1 of a numbered batch; still a batch."""
+    return df.where((F.col(ordinal) >= start) & (F.col(ordinal) < stop))
+
+
+def reorder(df: DataFrame, ordinal: str, index: DataFrame) -> DataFrame:
+    """The batch gathered by index (new_ordinal, ordinal): a row may be taken several times or not at all."""
+    return index.select("new_ordinal", F.col(ordinal).alias("__o")).join(df, F.col("__o") == F.col(ordinal)).drop("__o", ordinal).withColumnRenamed("new_ordinal", ordinal)
+
+
+def minibatches(df: DataFrame, ordinal: str, total: int, size: int, epochs: int) -> DataFrame:
+    """df once for each epoch with epoch and batch; a total that `size` doesn't divide is an error."""
+    if total % size:
+        raise ValueError(f"{total} rows can't be cut into batches of {size}")
+    return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("batch", F.floor(F.col(ordinal) / size).cast("int"))
+
+
+def collate_left(df: DataFrame, ids: str, pad: int) -> DataFrame:
+    """df with ids padded on the left to the batch's greatest length, mask and position_ids (0 for padding)."""
+    n = df.agg(F.max(F.size(ids))).scalar()
+    gap = F.greatest(n - F.size(ids), F.lit(0))
+    d = df.withColumn("__gap", gap).withColumn("__n", F.size(ids))
+    d = d.withColumn("input_ids", F.concat(F.array_repeat(F.lit(pad), F.col("__gap")), F.col(ids)))
+    d = d.withColumn("mask", F.concat(F.array_repeat(F.lit(0), F.col("__gap")), F.array_repeat(F.lit(1), F.col("__n"))))
+    numbers = F.when(F.col("__n") > 0, F.sequence(F.lit(0), F.greatest(F.col("__n") - 1, F.lit(0)))).otherwise(F.expr("cast(array() as array<int>)"))
+    return d.withColumn("position_ids", F.concat(F.array_repeat(F.lit(0), F.col("__gap")), numbers)).drop("__gap", "__n")
+
+
+def teacher_rows(df: DataFrame, label: Column, truth: Column) -> DataFrame:
+    """The answers (one a row) whose label equals the truth, where that is YES or NO; all others' stay. A group of
+    which nothing stays has failed and has no row."""
+    t = F.upper(F.trim(truth))
+    return df.where(~F.coalesce(t.isin("YES", "NO"), F.lit(False)) | F.coalesce(label == t, F.lit(False)))
+
+
+def metric_means(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, mean, n) of metrics that were appended one by one."""
+    return df.groupBy(key).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+
+
+def base_url(c: Column, suffixes: tuple[str, ...] = ("/chat/completions", "/completions", "/responses")) -> Column:
+    """A service's base address: without slashes at the end and without a known last part."""
+    t = F.regexp_replace(F.trim(c), r"/+$", "")
+    return F.regexp_replace(F.regexp_replace(t, "(?:" + "|".join(suffixes) + ")$", ""), r"/+$", "")
+
+
+def image_list(images: Column, image: Column) -> Column:
+    """The list of images: `images`, else the single `image` as a list; null for none."""
+    c = F.coalesce(F.when(F.size(images) > 0, images), F.when(F.coalesce(image, F.lit("")) != "", F.array(image)))
+    return F.when(F.size(c) > 0, c)

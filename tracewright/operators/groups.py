@@ -91,3 +91,14 @@ def masked_whiten(df: DataFrame, value: str, mask: str, out: str = "whitened", s
     mean, var = s.select("mean").scalar(), s.select("variance").scalar()
     w = (F.col(value) - mean) / F.sqrt(var + 1e-8)
     return df.withColumn(out, w if shift else w + mean)
+
+
+def group_scores(judged: DataFrame, scores: DataFrame, uid: str, resp: str) -> DataFrame:
+    """(uid, resp, advantage, used_rule): criterion advantages for groups that have judgements, z-scores of the rule's
+    score for the others.
+
+    judged: uid, resp, criterion_id, judged, points. scores: uid, resp, score, for every response."""
+    good = criterion_advantages(judged, uid, resp, "criterion_id", "judged", "points").withColumnRenamed("combined", "__good")
+    d = fallback_advantage(scores, uid, "score", "__rule").join(good, [uid, resp], "left")
+    has = F.col("__good").isNotNull()
+    return d.select(uid, resp, F.coalesce("__good", "__rule").alias("advantage"), (~has).alias("used_rule"))

@@ -117,3 +117,19 @@ def image_summary(urls: DataFrame, shown: int = 5) -> DataFrame:
     bad = F.when(F.col("reason").isNotNull(), F.struct("path", "reason"))
     firsts = urls.where("reason is not null").orderBy("path").limit(shown).agg(F.array_sort(F.collect_list(F.struct("path", "reason"))).alias("s")).scalar()
     return urls.agg(F.count("url").alias("usable"), F.count(bad).alias("skipped")).select("usable", "skipped", firsts.alias("examples"))
+
+
+def track(metrics: DataFrame, step: int, sinks: dict[str, str]) -> None:
+    """Metrics (name, value) of a step to several sinks: table and json append under a path, console prints a line.
+    An unknown kind is an error before anything is written."""
+    unknown = sorted(set(sinks) - {"table", "json", "console"})
+    if unknown:
+        raise ValueError("unknown sinks: " + ", ".join(unknown))
+    d = metrics.withColumn("step", F.lit(step))
+    for kind, path in sinks.items():
+        if kind == "table":
+            d.write.mode("append").parquet(path)
+        elif kind == "json":
+            append_json(d, path)
+        else:
+            print(" - ".join([f"step:{step}", *(f"{r['name']}:{r['value']:.3f}" for r in d.where("value is not null").orderBy("name").collect())]))
