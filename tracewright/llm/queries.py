@@ -80,6 +80,19 @@ SELECT source, metric, CAST(p AS DOUBLE) AS p, n AS n_values, round(CAST(q AS DO
  SELECT source, metric, count(*) AS n, unnest([0.5, 0.9, 0.99]) AS p, unnest(quantile_disc(value, [0.5, 0.9, 0.99])) AS q FROM w GROUP BY source, metric)"""
 )
 
+def _digit_sql(keys: str) -> str:
+    """The exact nearest-rank percentile, and least and greatest value with the same leading 20 bits."""
+    return (
+        _VALUES_SQL
+        + f""",
+b AS (SELECT {keys}, value + 0.0 AS value, CAST(CAST(value + 0.0 AS BIT) AS BIGINT) >> 44 AS digit FROM w),
+d AS (SELECT {keys}, digit, count(*) AS n, min(value) AS lo, max(value) AS hi FROM b GROUP BY {keys}, digit),
+q AS (SELECT {keys}, n, p, CAST(CAST(q + 0.0 AS BIT) AS BIGINT) >> 44 AS digit FROM (SELECT {keys}, count(*) AS n, unnest([0.5, 0.9, 0.99]) AS p, unnest(quantile_disc(value, [0.5, 0.9, 0.99])) AS q FROM b GROUP BY {keys}))
+SELECT {", ".join(f"q.{k.strip()}" for k in keys.split(","))}, CAST(p AS DOUBLE) AS p, q.n AS n_values, lo + (hi - lo) / 2 AS value, lo, hi, (hi - lo) / 2 AS error_bound
+FROM q JOIN d ON q.digit = d.digit AND {" AND ".join(f"q.{k.strip()} IS NOT DISTINCT FROM d.{k.strip()}" for k in keys.split(","))}"""
+    )
+
+
 # ---- Problems 4 and 5
 
 
@@ -174,4 +187,4 @@ QUERIES = {
     "p8_found": p8_found, "p8_scores": p8_scores,
 }
 
-ORACLE = {"p1_found": P1_SQL, "p3_exact": P3_EXACT_SQL}
+ORACLE = {"p1_found": P1_SQL, "p3_exact": P3_EXACT_SQL, "p3_percentiles": _digit_sql("source, metric"), "p3_daily": _digit_sql("source, run_day, metric")}
