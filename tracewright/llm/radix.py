@@ -122,8 +122,9 @@ def percentiles(table: DataFrame, keys: list[str], probs: tuple[float, ...] = PR
 
 
 def exact_percentiles(values: DataFrame, keys: list[str], value: str, probs: tuple[float, ...] = PROBS, steps: tuple[int, ...] = (20, 16, 14, 14)) -> DataFrame:
-    """(keys, p, n_values, value): the exact nearest-rank percentiles. Each step reads the values again, keeps
-    those within the digits followed so far and counts their next bits; 64 bits are followed in all."""
+    """(keys, p, n_values, value): the exact nearest-rank percentiles. The first step counts leading bits of all
+    values; those within the followed digits, usually about a hundredth, are written once, and each later step
+    keeps what lies within the digits followed so far and counts the next bits. 64 bits are followed in all."""
     if sum(steps) != 64:
         raise ValueError("steps must add up to 64 bits")
     x = F.col(value).cast("double")
@@ -137,6 +138,8 @@ def exact_percentiles(values: DataFrame, keys: list[str], value: str, probs: tup
             open_ = at.select(*(F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)), F.col("prefix").alias("__p")).distinct()
             on = _all([*(F.col(k).eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate(keys)), F.shiftright("__k", 64 - done) == F.col("__p")])
             rest = rows.join(open_, on, "left_semi")
+            if done == steps[0]:
+                rest = rows = settle(rest)
         digit = F.shiftright("__k", left) if left else F.col("__k")
         t = rest.groupBy(*keys, digit.alias("digit")).agg(F.count(F.lit(1)).alias("n"))
         if at is None:
