@@ -129,8 +129,8 @@ def _sized(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents")
-    return packing.pack(_sized(spark, folder).select("doc_id", "n_tokens"), "doc_id", "n_tokens", d.count())
+    sized = settle(_sized(spark, folder).select("doc_id", "n_tokens"))  # read twice; the texts only once
+    return packing.pack(sized, "doc_id", "n_tokens", sized.count())
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
