@@ -15,7 +15,8 @@ FLOATS = st.floats(allow_nan=False, allow_infinity=False)
 @given(st.lists(FLOATS, min_size=1, max_size=40))
 def test_keys_keep_order_and_return(spark, xs):
     xs += [0.0, -0.0, 1.0, 2.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, 0.1, 4.0, 1024.0]
-    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", radix.order_key(F.col("x")).alias("k")).select("*", radix.key_value(F.col("k")).alias("v")).collect()
+    rows = radix.with_order_key(spark.createDataFrame([(x,) for x in xs], "x double"), F.col("x"), "k").select("*", radix.key_value(F.col("k")).alias("v")).collect()
+    assert len(rows) == len(xs)
     for r in rows:
         bits = struct.unpack("<q", struct.pack("<d", abs(r["x"])))[0]
         assert r["k"] == (-bits if r["x"] < 0 else bits)

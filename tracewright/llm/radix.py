@@ -21,22 +21,28 @@ from tracewright.session import settle
 BITS = 20
 DIGIT = 8
 PROBS = (0.5, 0.9, 0.99)
+#: As many followed digits (a row for each group and target) are broadcast at most.
+SMALL_ROWS = 50_000
 MANTISSA = 52
 
 
-def order_key(x: Column) -> Column:
-    """A long of the same order as the finite double x: for x >= 0 its IEEE bits, for x < 0 the negated bits
-    of -x. -0.0 and 0.0 give 0. Built-in arithmetic only: scaling by powers of two is exact."""
-    v = F.abs(x)
-    two = F.lit(2.0)
-    e0 = F.floor(F.log2(v)).cast("int")
-    e1 = F.when(v < F.pow(two, e0), e0 - 1).when(v >= F.pow(two, e0 + 1), e0 + 1).otherwise(e0)
-    half = (e1 / 2).cast("int")
-    scaled = v / F.pow(two, half) / F.pow(two, e1 - half)
-    normal = (e1.cast("bigint") + 1023) * F.lit(1 << MANTISSA) + ((scaled - 1.0) * float(1 << MANTISSA)).cast("bigint")
-    tiny = (v * F.pow(two, F.lit(537)) * F.pow(two, F.lit(537))).cast("bigint")
-    bits = F.when(v == 0.0, F.lit(0).cast("bigint")).when(v < 2.2250738585072014e-308, tiny).otherwise(normal)
-    return F.when(x < 0.0, -bits).otherwise(bits)
+def with_order_key(df: DataFrame, x: Column, out: str = "__k") -> DataFrame:
+    """df with a long of the same order as the finite double x: for x >= 0 its IEEE bits, for x < 0 the negated bits
+    of -x; -0.0 and 0.0 give 0. Rows where x is null, NaN or infinite go.
+
+    Built-in arithmetic only; division by a power of two is exact. Each stage is a projection of its own, which
+    Catalyst keeps apart because the next one uses it more than once, so a value costs one log2 and one pow."""
+    keep = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    d = df.where(keep).withColumns({"__x": x, "__v": F.abs(x)})
+    d = d.withColumn("__e", F.least(F.greatest(F.floor(F.log2("__v")).cast("int"), F.lit(-1022)), F.lit(1023)))
+    d = d.withColumn("__lo", F.pow(F.lit(2.0), F.col("__e")))
+    low, high = F.col("__v") < F.col("__lo"), F.col("__v") / F.col("__lo") >= 2.0
+    d = d.withColumn("__e", F.when(low, F.col("__e") - 1).when(high, F.col("__e") + 1).otherwise(F.col("__e")))
+    d = d.withColumn("__m", F.col("__v") / F.when(low, F.col("__lo") / 2.0).when(high, F.col("__lo") * 2.0).otherwise(F.col("__lo")))
+    normal = (F.col("__e").cast("bigint") + 1023) * F.lit(1 << MANTISSA) + ((F.col("__m") - 1.0) * float(1 << MANTISSA)).cast("bigint")
+    tiny = (F.col("__v") * float(2**537) * float(2**537)).cast("bigint")
+    bits = F.when(F.col("__v") == 0.0, F.lit(0).cast("bigint")).when(F.col("__v") < 2.2250738585072014e-308, tiny).otherwise(normal)
+    return d.withColumn("__b", bits).withColumn(out, F.when(F.col("__x") < 0.0, -F.col("__b")).otherwise(F.col("__b"))).drop("__x", "__v", "__e", "__lo", "__m", "__b")
 
 
 def key_value(k: Column) -> Column:
@@ -56,10 +62,7 @@ def digit_table(values: DataFrame, keys: list[str], value: str, bits: int = BITS
     """(keys, digit, n, lo, hi): how many values of each group share their leading `bits` bits, with the least
     and greatest of them. Null, NaN and infinite values don't count. Groups are counted before the shuffle,
     so a group that holds a third of all rows sends no more than its digits from each task."""
-    x = F.col(value).cast("double")
-    k = order_key(x)
-    keep = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-    rows = values.where(keep).select(*keys, k.alias("__k"))
+    rows = with_order_key(values.select(*keys, value), F.col(value).cast("double")).select(*keys, "__k")
     digit = F.shiftright(F.col("__k"), 64 - bits)
     return rows.groupBy(*keys, digit.alias("digit")).agg(F.count(F.lit(1)).alias("n"), F.min("__k").alias("lo"), F.max("__k").alias("hi"))
 
@@ -127,9 +130,7 @@ def exact_percentiles(values: DataFrame, keys: list[str], value: str, probs: tup
     keeps what lies within the digits followed so far and counts the next bits. 64 bits are followed in all."""
     if sum(steps) != 64:
         raise ValueError("steps must add up to 64 bits")
-    x = F.col(value).cast("double")
-    keep = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-    rows = values.where(keep).select(*keys, order_key(x).alias("__k"))
+    rows = with_order_key(values.select(*keys, value), F.col(value).cast("double")).select(*keys, "__k")
     at, done = None, 0
     for step in steps:
         left = 64 - done - step
@@ -137,13 +138,14 @@ def exact_percentiles(values: DataFrame, keys: list[str], value: str, probs: tup
         if at is not None:
             open_ = at.select(*(F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)), F.col("prefix").alias("__p")).distinct()
             on = _all([*(F.col(k).eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate(keys)), F.shiftright("__k", 64 - done) == F.col("__p")])
+            open_ = F.broadcast(open_) if at.count() <= SMALL_ROWS else open_
             rest = rows.join(open_, on, "left_semi")
             if done == steps[0]:
                 rest = rows = settle(rest)
         digit = F.shiftright("__k", left) if left else F.col("__k")
         t = rest.groupBy(*keys, digit.alias("digit")).agg(F.count(F.lit(1)).alias("n"))
         if at is None:
-            at = _follow(t, keys, probs, step)
+            at = _follow(settle(t), keys, probs, step)
         else:
             on = _all([*(F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys), F.shiftright(F.col("b.digit"), step) == F.col("a.prefix")])
             j = at.alias("a").join(t.alias("b"), on).select("a.*", "b.digit", "b.n")
