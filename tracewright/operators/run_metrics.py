@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -69,12 +69,11 @@ def latest_checkpoint(paths: DataFrame, path: str) -> DataFrame:
 
 
 def checkpoints_to_drop(paths: DataFrame, path: str, keep: int, score: str) -> DataFrame:
-    """All but the newest `keep` checkpoints and the best one by score (ties: the later step). The list of
-    checkpoints of a run is short; its window is one task."""
+    """All but the newest `keep` checkpoints and the best one by score (ties: the later step)."""
     d = checkpoint_steps(paths, path)
     best = d.agg(F.max(F.struct(score, "step")).alias("b")).select("b.step").scalar()
-    w = Window.orderBy(F.desc("step"))
-    return d.withColumn("__n", F.row_number().over(w)).where((F.col("__n") > keep) & (F.col("step") != best)).drop("__n")
+    oldest_kept = d.orderBy(F.desc("step")).limit(keep).agg(F.min("step")).scalar()
+    return d.where((F.col("step") < oldest_kept) & (F.col("step") != best))
 
 
 def validation_table(df: DataFrame, step: Column, columns: list[str], order: Column, n: int) -> DataFrame:

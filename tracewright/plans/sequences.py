@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import arrays
+from tracewright.operators.batches import splits, with_ordinal
 from tracewright.session import table
 
 EOS = (81589, 76997)
@@ -33,11 +34,12 @@ def response_positions(spark, folder):
 
 
 def cu_seqlens(spark, folder):
-    """Cumulative lengths of the responses of a sample, with the longest: bounds of a batch of that sample's runs."""
-    d = table(spark, folder, "results").select("run_day", "result_id", F.coalesce(F.size("tokens"), F.lit(0)).alias("n"))
-    w = Window.partitionBy("run_day").orderBy("result_id").rowsBetween(Window.unboundedPreceding, 0)
+    """Cumulative lengths of the responses in batches of 256 rows: where each begins and ends in its flat batch."""
+    d = table(spark, folder, "results").select("result_id", F.coalesce(F.size("tokens"), F.lit(0)).alias("n"))
+    d = splits(with_ordinal(d, [F.col("result_id")]), "ordinal", 256, "batch")
+    w = Window.partitionBy("batch").orderBy("result_id").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("end", F.sum("n").over(w))
-    return d.select("run_day", "result_id", (F.col("end") - F.col("n")).alias("start"), "end")
+    return d.select("batch", "result_id", (F.col("end") - F.col("n")).alias("start"), "end")
 
 
 def prefix_offsets(spark, folder):
@@ -107,8 +109,9 @@ SELECT result_id, {_J.format(x="list_transform(ids, lambda x, i: CASE WHEN stop
 c AS (SELECT result_id, pos, greatest(sum(m) OVER (PARTITION BY result_id ORDER BY pos) - 1, 0) AS p FROM m)
 SELECT i.result_id, coalesce(p, '') AS positions FROM ({_IDS}) i LEFT JOIN (SELECT result_id, string_agg(CAST(CAST(p AS BIGINT) AS VARCHAR), ',' ORDER BY pos) AS p FROM c GROUP BY result_id) c ON i.result_id = c.result_id""",
     "response_positions": f"SELECT result_id, {_J.format(x='range(CAST(result_id % 7 + 1 AS BIGINT), CAST(result_id % 7 + 1 + len(ids) AS BIGINT))')} AS positions FROM ({_IDS})",
-    "cu_seqlens": """WITH d AS (SELECT run_day, result_id, coalesce(len(tokens), 0) AS n FROM results), c AS (SELECT *, CAST(sum(n) OVER (PARTITION BY run_day ORDER BY result_id) AS BIGINT) AS e FROM d)
-SELECT run_day, result_id, e - n AS start, e AS end FROM c""",
+    "cu_seqlens": """WITH d AS (SELECT CAST((row_number() OVER (ORDER BY result_id) - 1) // 256 AS INTEGER) AS batch, result_id, coalesce(len(tokens), 0) AS n FROM results),
+c AS (SELECT *, CAST(sum(n) OVER (PARTITION BY batch ORDER BY result_id) AS BIGINT) AS e FROM d)
+SELECT batch, result_id, e - n AS start, e AS end FROM c""",
     "prefix_offsets": """WITH t AS (SELECT result_id, unnest(range(len(tokens))) AS pos, length(unnest(tokens).text) AS n FROM results WHERE tokens IS NOT NULL), c AS (SELECT result_id, pos, sum(n) OVER (PARTITION BY result_id ORDER BY pos) - n AS a FROM t)
 SELECT r.result_id, coalesce(s, '') AS starts FROM results r LEFT JOIN (SELECT result_id, string_agg(CAST(CAST(a AS BIGINT) AS VARCHAR), ',' ORDER BY pos) AS s FROM c GROUP BY result_id) c ON r.result_id = c.result_id WHERE r.tokens IS NOT NULL""",
     "gae_returns": f"""WITH {_L}, d AS (SELECT result_id, pos, v, r + 0.98::DOUBLE * coalesce(lead(v) OVER (PARTITION BY result_id ORDER BY pos), 0) - v AS d FROM s),
