@@ -21,17 +21,11 @@ def test_cut_positions(sizes, limit, overlap):
         assert got == []
         return
     assert got[0][0] == 0 and got[-1][1] == t
-    for (_, b, hard), (c, _, _) in zip(got, got[1:], strict=False):
-        assert c == max(0, b - overlap) or c >= b - overlap
-        if not hard:
-            assert b in ends
-    done = 0
-    for a, b, hard in got[:-1]:
-        between = [e for e in ends if done < e <= a + limit]
+    for (a, b, hard), (c, _, _) in zip(got, got[1:], strict=False):
+        assert c == b - overlap > a
+        between = [e for e in ends if a + overlap < e <= a + limit]
         assert hard == (not between)  # cut at a boundary whenever there is one
-        if between:
-            assert b == max(between)
-        done = b
+        assert b == (max(between) if between else a + limit)
 
 
 def line_rows(spark, texts, **how):

@@ -35,23 +35,24 @@ PIECE_SCHEMA = (
 def cut_positions(ends: list[int], limit: int, overlap: int) -> list[tuple[int, int, bool]]:
     """Pieces (start, end, hard) of at most `limit` units over stretches that end at the rising positions
     `ends`: each ends at the last stretch end that fits, or hard at the limit if none lies behind the piece
-    before, and begins `overlap` units before the end of the piece before."""
+    before, and begins `overlap` units before the end of the piece before. An end within the first `overlap`
+    units is none: the next piece would repeat all of that piece and not `overlap` units of it."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below the limit")
     total = ends[-1] if ends else 0
     out: list[tuple[int, int, bool]] = []
-    start = done = 0
+    start = 0
     while total:
         if total - start <= limit:
             out.append((start, total, False))
             break
         i = bisect_right(ends, start + limit)
         end = ends[i - 1] if i else 0
-        hard = end <= done
+        hard = end <= start + overlap
         if hard:
             end = start + limit
         out.append((start, end, hard))
-        start, done = max(start, end - overlap), end
+        start = end - overlap
     return out
 
 
