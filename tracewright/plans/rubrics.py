@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import text as tx
 from tracewright.operators import groups, rubrics
-from tracewright.session import table
+from tracewright.session import settle, table
 
 
 def _rubrics(spark, folder):
@@ -52,7 +52,8 @@ def judgement_rows(spark, folder):
 
 
 def criterion_advantages(spark, folder):
-    d = groups.criterion_advantages(_judged(spark, folder), "verdict_id", "answer_index", "criterion_id", "judged", "points")
+    # Written once: the figures of groups read it several times, and parsing the payloads is the costly part.
+    d = groups.criterion_advantages(settle(_judged(spark, folder)), "verdict_id", "answer_index", "criterion_id", "judged", "points")
     return d.select("verdict_id", "answer_index", F.round("combined", 6).alias("advantage"))
 
 

@@ -8,7 +8,7 @@ from tracewright.functions import text as tx
 from tracewright.operators import advantages, batches, groups, rubrics
 from tracewright.plans import rubrics as rubric_plans
 from tracewright.plans import texts as text_plans
-from tracewright.session import table
+from tracewright.session import settle, table
 
 
 def corpus_convert(spark, folder):
@@ -77,7 +77,7 @@ def attribution_spans(spark, folder):
 
 def score_groups(spark, folder):
     """Verdicts as groups: criterion advantages where the verdict is valid, else z-scores of a rule's score."""
-    judged = rubric_plans._judged(spark, folder)
+    judged = settle(rubric_plans._judged(spark, folder))
     v = table(spark, folder, "verdicts").select("verdict_id", F.posexplode(F.sequence(F.lit(1), F.lit(6))).alias("p", "answer_index"))
     scores = v.select("verdict_id", "answer_index", ((F.col("verdict_id") * 7 + F.col("answer_index") * 3) % 5).cast("double").alias("score"))
     d = groups.group_scores(judged, scores, "verdict_id", "answer_index")
