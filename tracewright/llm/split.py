@@ -56,6 +56,13 @@ def cut_positions(ends: list[int], limit: int, overlap: int) -> list[tuple[int,
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Smaller batches: a row's lists are many Python objects."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def _candidates(df: DataFrame, id_col: str, text: str, actions: str, tokens: str, limit: int, range_chars: int, halo: int) -> DataFrame:
     """One row for each range of the texts that may be oversized. Sizes count twice-listed actions twice
     here; the stitched table decides."""
@@ -102,7 +109,7 @@ def _boundaries(mark: str, range_chars: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = re.compile(mark)
         schema = None
-        for b in batches:
+        for b in _slices(batches):
             cols = {n: b.column(n).to_pylist() for n in ("range_start", "n_chars", "slice", "slice_start", "stretches", "by_lines", "range_no")}
             out = []
             for start, n, text, at, given, lines, no in zip(*(cols[c] for c in ("range_start", "n_chars", "slice", "slice_start", "stretches", "by_lines", "range_no")), strict=True):
@@ -177,7 +184,7 @@ def _pieces(limit: int, overlap: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [("id", pa.int64()), ("need", pa.string()), ("piece_index", pa.int32()), ("n_pieces", pa.int32()), ("token_start", pa.int32()), ("token_end", pa.int32()), ("n_tokens", pa.int32()), ("char_start", pa.int32()), ("char_end", pa.int32()), ("overlap_tokens", pa.int32()), ("hard_cut", pa.bool_())]
-        for b in batches:
+        for b in _slices(batches):
             rows: list[tuple] = []
             for key, n_ranges, n, lines, ranges in zip(*(b.column(c).to_pylist() for c in ("__key", "n_ranges", "n_chars", "by_lines", "ranges")), strict=True):
                 ranges.sort(key=lambda r: r["range_no"])
