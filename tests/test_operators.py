@@ -375,3 +375,28 @@ def test_images(spark, tmp_path):
 def test_settle_is_written(spark):
     d = settle(spark.range(10))
     assert d.count() == 10 and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+
+
+def positions_by_hand(segments):
+    out, at = ([], [], []), 0
+    for n, t, h, w in segments:
+        if n:
+            for i in range(n):
+                for axis in out:
+                    axis.append(at + i)
+            at += n
+        else:
+            for a in range(t):
+                for b in range(h):
+                    for c in range(w):
+                        for axis, v in zip(out, (a, b, c), strict=True):
+                            axis.append(at + v)
+            at += max(t, h, w)
+    return out
+
+
+def test_grid_positions(spark):
+    cases = [[(3, 0, 0, 0), (0, 1, 2, 3), (2, 0, 0, 0)], [(0, 2, 2, 2), (0, 1, 1, 4)], []]
+    d = spark.createDataFrame([(c,) for c in cases], "s array<struct<n:int,t:int,h:int,w:int>>")
+    got = [tuple(r["p"]) for r in d.select(arrays.grid_positions(F.col("s")).alias("p")).collect()]
+    assert got == [positions_by_hand(c) for c in cases]

@@ -112,3 +112,28 @@ def char_overlap(tokens: Column, start: Column, end: Column) -> Column:
 def quote_span(text: Column, quote: Column) -> Column:
     """Where the quote first stands in the text, from 0; -1 if nowhere, if it is empty or null."""
     return F.when(F.coalesce(quote, F.lit("")) == "", F.lit(-1)).otherwise(F.coalesce(F.instr(text, quote), F.lit(0)) - 1)
+
+
+def grid_positions(segments: Column) -> Column:
+    """struct<t, h, w: array<int>>: three-row positions of a sequence of text runs (n > 0 tokens) and image grids
+    (t, h, w after merging). Text advances all rows together; a grid counts its own axes from where it begins; what
+    follows begins behind the greatest position."""
+    empty = F.expr("cast(array() as array<int>)")
+    seed = F.struct(F.lit(0).alias("at"), empty.alias("t"), empty.alias("h"), empty.alias("w"))
+
+    def step(s: Column, g: Column) -> Column:
+        text = F.coalesce(g["n"], F.lit(0)) > 0
+        area, width = F.greatest(g["h"] * g["w"], F.lit(1)), F.greatest(g["w"], F.lit(1))
+        n = F.when(text, g["n"]).otherwise(g["t"] * g["h"] * g["w"])
+        idx = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(empty)
+
+        def row(of) -> Column:
+            return F.transform(idx, lambda i: s["at"] + F.when(text, i).otherwise(of(i)).cast("int"))
+
+        after = s["at"] + F.when(text, g["n"]).otherwise(F.greatest(g["t"], g["h"], g["w"]))
+        return F.struct(
+            after.alias("at"), F.concat(s["t"], row(lambda i: F.floor(i / area))).alias("t"),
+            F.concat(s["h"], row(lambda i: F.floor(i % area / width))).alias("h"), F.concat(s["w"], row(lambda i: i % width)).alias("w"),
+        )
+
+    return F.aggregate(segments, seed, step, lambda s: F.struct(s["t"].alias("t"), s["h"].alias("h"), s["w"].alias("w")))

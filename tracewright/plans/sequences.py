@@ -91,12 +91,21 @@ def unpad_prompt(spark, folder):
     return d.select("result_id", _joined(arrays.unpad(F.col("p"), F.col("m"))).alias("ids"), F.size(arrays.non_negative(F.col("p"))).alias("n"))
 
 
+def image_positions(spark, folder):
+    """Three-row positions of a text run, a grid of 1 x (size % 3 + 1) x 2 and a text run."""
+    seg = lambda n, t, h, w: F.struct(n.alias("n"), t.alias("t"), h.alias("h"), w.alias("w"))
+    z = F.lit(0)
+    d = table(spark, folder, "part").select("p_partkey", F.array(seg(F.lit(2), z, z, z), seg(z, F.lit(1), F.col("p_size") % 3 + 1, F.lit(2)), seg(F.lit(1), z, z, z)).alias("s"))
+    d = d.select("p_partkey", arrays.grid_positions(F.col("s")).alias("p"))
+    return d.select("p_partkey", *(_joined(F.col(f"p.{a}")).alias(a) for a in "thw"))
+
+
 def last_token_reward(spark, folder):
     d = table(spark, folder, "results").select("result_id", arrays.last_valid_reward(F.lit(1.5), F.coalesce(F.size("tokens"), F.lit(0))).alias("r"))
     return d.select("result_id", F.size("r").alias("n"), F.coalesce(F.try_element_at("r", F.lit(-1)), F.lit(0.0)).alias("last"), F.aggregate("r", F.lit(0.0), lambda s, x: s + x).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (eos_mask, position_ids, response_positions, cu_seqlens, prefix_offsets, gae_returns, discounted_returns, suffix_returns, pad_and_cut, unpad_prompt, last_token_reward)}
+QUERIES = {f.__name__: f for f in (eos_mask, position_ids, response_positions, cu_seqlens, prefix_offsets, gae_returns, discounted_returns, suffix_returns, pad_and_cut, unpad_prompt, image_positions, last_token_reward)}
 
 _IDS = "SELECT result_id, generated_token_ids AS ids FROM results WHERE generated_token_ids IS NOT NULL"
 _J = "array_to_string({x}, ',')"
@@ -127,5 +136,8 @@ SELECT l_orderkey, l_linenumber, round(sum(r * m) OVER (PARTITION BY l_orderkey
  {_J.format(x="CASE WHEN len(ids) > 100 THEN ids[:100] ELSE list_concat(list_resize(CAST([] AS INTEGER[]), 100 - len(ids), 0), ids) END")} AS keep_head,
  CAST(len(ids) + CASE WHEN coalesce(ids[-1] = {EOS[0]}, false) THEN 0 ELSE 1 END AS INTEGER) AS with_eos FROM ({_IDS})""",
     "unpad_prompt": f"SELECT result_id, {_J.format(x='ids')} AS ids, CAST(greatest(len(ids), 200) AS INTEGER) AS n FROM ({_IDS})",
+    "image_positions": """SELECT p_partkey, CASE h WHEN 1 THEN '0,1,2,2,4' WHEN 2 THEN '0,1,2,2,2,2,4' ELSE '0,1,2,2,2,2,2,2,5' END AS t,
+ CASE h WHEN 1 THEN '0,1,2,2,4' WHEN 2 THEN '0,1,2,2,3,3,4' ELSE '0,1,2,2,3,3,4,4,5' END AS h, CASE h WHEN 1 THEN '0,1,2,3,4' WHEN 2 THEN '0,1,2,3,2,3,4' ELSE '0,1,2,3,2,3,2,3,5' END AS w
+FROM (SELECT p_partkey, p_size % 3 + 1 AS h FROM part)""",
     "last_token_reward": "SELECT result_id, CAST(n AS INTEGER) AS n, CASE WHEN n > 0 THEN 1.5::DOUBLE ELSE 0::DOUBLE END AS last, CASE WHEN n > 0 THEN 1.5::DOUBLE ELSE 0::DOUBLE END AS total FROM (SELECT result_id, coalesce(len(tokens), 0) AS n FROM results)",
 }
