@@ -14,6 +14,12 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def only(a: Column, *fields: str) -> Column:
+    """An array of structs with these fields only. Unlike a lambda over the whole structs, it lets the scan leave out
+    the other fields' columns. A null element becomes a struct of nulls."""
+    return F.arrays_zip(*(a[f].alias(f) for f in fields))
+
+
 def values(a: Column) -> Column:
     """The elements that are numbers: null and NaN are left out."""
     return F.filter(a, lambda x: x.isNotNull() & ~F.isnan(x))

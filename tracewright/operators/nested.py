@@ -107,12 +107,12 @@ class Link:
     key: str
 
 
-def _find(targets: Column, key: str, wanted: Column) -> Column:
+def _find(keys: Column, wanted: Column) -> Column:
     """Position of the first target with that key, -1 if there is none, null if the target array or the key is
     null. The position that equals the key is tried first: where arrays are in order the rest isn't read."""
-    here = F.get(targets, wanted)
-    elsewhere = F.array_position(F.transform(targets, lambda t: t[key]), wanted).cast("int") - 1
-    return F.when(targets.isNull() | wanted.isNull(), F.lit(None).cast("int")).when(here[key] == wanted, wanted.cast("int")).otherwise(elsewhere)
+    there = F.get(keys, wanted) == wanted
+    elsewhere = F.coalesce(F.array_position(keys, wanted), F.lit(0).cast("bigint")).cast("int") - 1
+    return F.when(keys.isNull() | wanted.isNull(), F.lit(None).cast("int")).when(there, wanted.cast("int")).otherwise(elsewhere)
 
 
 def links(df: DataFrame, id_col: str, link: Link) -> DataFrame:
@@ -124,18 +124,18 @@ def links(df: DataFrame, id_col: str, link: Link) -> DataFrame:
     parts = link.source.split(".")
     names = [f.name for f in df.schema.fields]
     ti, si = names.index(link.target), names.index(parts[0])
-    t = F.col(f"`{link.target}`")
+    t = F.col(f"`{link.target}`")[link.key]  # the keys only: the scan leaves the targets' other fields out
     rid = F.col(f"`{id_col}`")
     label = F.coalesce(rid.cast("string"), F.lit("~"))
-    nodes = df.where(t.isNotNull()).select(rid.alias("record_id"), label.alias("__r"), t.alias("__t"), F.posexplode(F.col(f"`{parts[0]}`")).alias("child_pos", "__v"))
+    nodes = df.where(t.isNotNull()).select(rid.alias("record_id"), label.alias("__r"), t.alias("__t"), F.posexplode(F.col(f"`{parts[0]}`")[parts[1] if len(parts) == 2 else link.field]).alias("child_pos", "__v"))
     node = F.concat("__r", F.lit(f".{si}."), F.col("child_pos"))
     if len(parts) == 2:
         # One struct for each reference: the search runs before the explode, next to the record's targets.
-        found = F.transform(F.array_distinct(F.col("__v")[parts[1]]), lambda x: F.struct(x.alias("value"), _find(F.col("__t"), link.key, x).alias("at")))
+        found = F.transform(F.array_distinct(F.col("__v")), lambda x: F.struct(x.alias("value"), _find(F.col("__t"), x).alias("at")))
         nodes = nodes.select("record_id", "__r", "child_pos", node.alias("label"), F.explode(found).alias("__f"))
     elif len(parts) == 1:
-        v = F.col("__v")[link.field]
-        nodes = nodes.select("record_id", "__r", "child_pos", node.alias("label"), F.struct(v.alias("value"), _find(F.col("__t"), link.key, v).alias("at")).alias("__f"))
+        v = F.col("__v")
+        nodes = nodes.select("record_id", "__r", "child_pos", node.alias("label"), F.struct(v.alias("value"), _find(F.col("__t"), v).alias("at")).alias("__f"))
     else:
         raise ValueError("a link's source lies in an array of the record or in one inside it")
     at = F.col("__f.at")

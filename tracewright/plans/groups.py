@@ -42,7 +42,7 @@ def masked_whiten(spark, folder):
 
 def _entropies(spark, folder):
     d = table(spark, folder, "results").where("tokens is not null")
-    ok = F.filter(F.transform("tokens", lambda t: t["entropy"]), lambda x: x.isNotNull() & ~F.isnan(x) & (x >= 0) & (x < float("inf")))
+    ok = F.filter(F.col("tokens")["entropy"], lambda x: x.isNotNull() & ~F.isnan(x) & (x >= 0) & (x < float("inf")))
     return d.select("result_id", ok.alias("v"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.functions import arrays
+from tracewright.functions import arrays, stats
 from tracewright.operators import spans
 from tracewright.session import table
 
@@ -26,7 +26,8 @@ def span_candidates(spark, folder):
 
 def _given(spark, folder):
     """The delivered actions, in order and each once, with their delivered z."""
-    ok = F.filter("actions", lambda a: a["entropy_robust_z"].isNotNull() & ~F.isnan(a["entropy_robust_z"]))
+    own = stats.only(F.col("actions"), "action_index", "entropy_robust_z", "char_start", "char_end", "token_indices", "text")
+    ok = F.filter(own, lambda a: a["entropy_robust_z"].isNotNull() & ~F.isnan(a["entropy_robust_z"]))
     keyed = F.transform(ok, lambda a: F.struct(a["action_index"].alias("action_index"), F.round(a["entropy_robust_z"], 6).alias("z"), a["char_start"].alias("char_start"), a["char_end"].alias("char_end"), F.coalesce(a["token_indices"], F.expr("cast(array() as array<int>)")).alias("token_indices"), a["text"].alias("text")))
     return _r(spark, folder).where("actions is not null").select("result_id", F.array_sort(F.array_distinct(keyed)).alias("a"))
 
@@ -49,8 +50,8 @@ def peak_blocks(spark, folder):
 
 def token_span_overlap(spark, folder):
     r = _r(spark, folder)
-    t = r.select("result_id", F.explode("tokens").alias("t")).select("result_id", F.col("t.token_index").alias("token_id"), "t.char_start", "t.char_end")
-    s = r.select("result_id", F.explode("candidate_blocks").alias("b")).select("result_id", F.col("b.block_index").alias("span_id"), "b.char_start", "b.char_end")
+    t = r.select("result_id", F.inline(stats.only(F.col("tokens"), "token_index", "char_start", "char_end"))).withColumnRenamed("token_index", "token_id")
+    s = r.select("result_id", F.inline(stats.only(F.col("candidate_blocks"), "block_index", "char_start", "char_end"))).withColumnRenamed("block_index", "span_id")
     return spans.overlap_rows(t.dropDuplicates(["result_id", "token_id"]), s.dropDuplicates(["result_id", "span_id"]), ["result_id"])
 
 
