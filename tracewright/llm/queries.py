@@ -43,7 +43,7 @@ def _values(spark: SparkSession, folder: str) -> DataFrame:
     r = table(spark, folder, "results")
     s = mixing.source_key(F.col("source")).alias("source")
     t = r.select(s, "run_day", F.lit(METRICS[0]).alias("metric"), F.explode("tokens.entropy").alias("value"))
-    once = F.array_distinct(F.transform("actions", lambda x: F.struct(x["action_index"].alias("i"), x["entropy_topr_mean"].alias("v"))))
+    once = F.array_distinct(F.arrays_zip(F.col("actions.action_index").alias("i"), F.col("actions.entropy_topr_mean").alias("v")))
     a = r.select(s, "run_day", F.lit(METRICS[1]).alias("metric"), F.explode(once["v"]).alias("value"))
     return t.unionByName(a).where(F.col("value") >= 0)
 

@@ -66,17 +66,17 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
 def _candidates(df: DataFrame, id_col: str, text: str, actions: str, tokens: str, limit: int, range_chars: int, halo: int) -> DataFrame:
     """One row for each range of the texts that may be oversized. Sizes count twice-listed actions twice
     here; the stitched table decides."""
-    t, a, k = F.col(text), F.col(actions), F.col(tokens)
+    t, index, begin = F.col(text), F.col(tokens)["token_index"], F.col(tokens)["char_start"]
+    a = F.arrays_zip(*(F.col(actions)[f].alias(f) for f in ("action_index", "char_start", "token_count", "token_indices")))
     size = lambda x: F.coalesce(x["token_count"], F.when(x["token_indices"].isNotNull(), F.size(x["token_indices"])), F.lit(0))
-    by_lines = F.coalesce(F.size(a), F.lit(0)) <= 0
+    by_lines = F.coalesce(F.size(F.col(actions)["action_index"]), F.lit(0)) <= 0
     rough = F.when(by_lines, F.ceil(F.length(t) / F.lit(float(CHARS_PER_TOKEN))).cast("bigint")).otherwise(
         F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(size(x), F.lit(0)).cast("bigint"))
     )
 
     def place(i: Column) -> Column:
         """Where token i begins; the tokens are in order in nearly all rows."""
-        at = F.get(k, i)
-        return F.when(at["token_index"] == i, at["char_start"])
+        return F.when(F.get(index, i) == i, F.get(begin, i))
 
     stretches = F.transform(
         F.filter(a, lambda x: x.isNotNull()),
