@@ -132,7 +132,7 @@ def links(df: DataFrame, id_col: str, link: Link) -> DataFrame:
     if len(parts) == 2:
         # One struct for each reference: the search runs before the explode, next to the record's targets.
         found = F.transform(F.array_distinct(F.col("__v")), lambda x: F.struct(x.alias("value"), _find(F.col("__t"), x).alias("at")))
-        nodes = nodes.select("record_id", "__r", "child_pos", node.alias("label"), F.explode(found).alias("__f"))
+        nodes = nodes.select("record_id", "__r", "child_pos", node.alias("label"), F.explode_outer(found).alias("__f"))  # outer: see README, Arrays
     elif len(parts) == 1:
         v = F.col("__v")
         nodes = nodes.select("record_id", "__r", "child_pos", node.alias("label"), F.struct(v.alias("value"), _find(F.col("__t"), v).alias("at")).alias("__f"))
