@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.functions.stats import let
+
 LIMIT, OVERLAP, CHARS_PER_TOKEN = 320, 32, 4
 RANGE_CHARS, HALO = 65_536, 64
 
@@ -74,17 +76,16 @@ def _candidates(df: DataFrame, id_col: str, text: str, actions: str, tokens: str
         F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(size(x), F.lit(0)).cast("bigint"))
     )
 
-    def place(i: Column) -> Column:
-        """Where token i begins; the tokens are in order in nearly all rows."""
-        return F.when(F.get(index, i) == i, F.get(begin, i))
-
-    stretches = F.transform(
-        F.filter(a, lambda x: x.isNotNull()),
-        lambda x: F.struct(
+    def stretch(x: Column, place: Column) -> Column:
+        """An action, with where each of its tokens begins; the tokens are in order in nearly all rows."""
+        chars = F.transform(x["token_indices"], lambda i: F.when(F.get(place["i"], i) == i, F.get(place["b"], i)))
+        return F.struct(
             x["action_index"].cast("int").alias("k"), F.coalesce(x["char_start"], F.lit(0)).cast("int").alias("at"),
-            F.coalesce(size(x), F.lit(0)).cast("int").alias("size"), F.transform(x["token_indices"], place).alias("chars"),
-        ),
-    )
+            F.coalesce(size(x), F.lit(0)).cast("int").alias("size"), chars.alias("chars"),
+        )
+
+    # let: the fields' arrays are taken out of the tokens once for a row, not once for every token.
+    stretches = let(F.struct(index.alias("i"), begin.alias("b")), lambda p: F.transform(F.filter(a, lambda x: x.isNotNull()), lambda x: stretch(x, p)))
     n = F.greatest(F.ceil(F.length(t) / F.lit(float(range_chars))).cast("int"), F.lit(1))
     rows = df.where(t.isNotNull() & (rough > limit)).select(
         F.struct(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(t, a).alias("h")).alias("__key"),
