@@ -11,7 +11,7 @@ from tracewright.streaming import jobs
 
 
 def samples_loaded(spark, folder):
-    d = table(spark, folder, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id").cast("string")).alias("id"), "source", F.left("text", F.lit(80)).alias("question"), F.col("discipline").alias("answer"))
+    d = table(spark, folder, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id").cast("string")).alias("id"), "source", F.col("text").alias("question"), F.col("discipline").alias("answer"))
     o = with_ordinal(d, [F.col("doc_id")])
     return files.samples(o, "ordinal", "documents").select("sample_id", "source", "question", "answer")
 
