@@ -4,9 +4,11 @@ The SQL of whole jobs stands here where a query's registered SQL holds the cut t
 """
 
 from tests.oracle import compare, connect
-from tracewright.plans import tables
+from tracewright.operators import batches
+from tracewright.plans import shapes, tables
 
 WHOLE_SAMPLES = tables.ORACLE["samples_loaded"].replace("left(text, 80) AS q", "text AS q")
+WHOLE_COLLATE = shapes.ORACLE["left_pad_collate"].replace("generated_token_ids[:40] AS ids", "generated_token_ids AS ids, (row_number() OVER (ORDER BY result_id) - 1) // 256 AS b").replace("OVER () - len", "OVER (PARTITION BY b) - len")
 
 
 def test_samples_loaded_keeps_whole_questions(spark, sf):
@@ -20,3 +22,20 @@ def test_samples_loaded_by_hand(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, source string, discipline string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["sample_id"]: r["question"] for r in tables.samples_loaded(spark, str(tmp_path)).collect()}
     assert got == {"sample-000000": long, "sample-000001": "late start"}
+
+
+def test_left_pad_collate_keeps_whole_lists(spark, sf):
+    assert "[:40]" not in WHOLE_COLLATE
+    compare(shapes.left_pad_collate(spark, sf), connect(sf), WHOLE_COLLATE)
+
+
+def test_collate_pads_to_the_batch(spark):
+    rows = [(1, 0, [5] * 90), (2, 0, [6, 7]), (3, 1, [8]), (4, 1, []), (5, 2, [])]
+    d = spark.createDataFrame(rows, "k bigint, batch int, ids array<int>")
+    got = {r["k"]: (r["input_ids"], r["mask"], r["position_ids"]) for r in batches.collate_left(d, "ids", 0, "batch").collect()}
+    assert got == {1: ([5] * 90, [1] * 90, list(range(90))), 2: ([0] * 88 + [6, 7], [0] * 88 + [1, 1], [0] * 89 + [1]), 3: ([8], [1], [0]), 4: ([0], [0], [0]), 5: ([], [], [])}
+
+
+def test_left_pad_collate_in_batches(spark, tmp_path):
+    spark.range(600).selectExpr("id as result_id", "transform(sequence(1, cast(id + 1 as int)), x -> 9) as generated_token_ids").write.parquet(f"{tmp_path}/results.parquet")
+    compare(shapes.left_pad_collate(spark, str(tmp_path)), connect(str(tmp_path)), WHOLE_COLLATE)

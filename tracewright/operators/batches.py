@@ -186,15 +186,15 @@ def minibatches(df: DataFrame, ordinal: str, total: int, size: int, epochs: int)
     return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("batch", F.floor(F.col(ordinal) / size).cast("int"))
 
 
-def collate_left(df: DataFrame, ids: str, pad: int) -> DataFrame:
-    """df with ids padded on the left to the batch's greatest length, mask and position_ids (0 for padding)."""
-    n = df.agg(F.max(F.size(ids))).scalar()
-    gap = F.greatest(n - F.size(ids), F.lit(0))
-    d = df.withColumn("__gap", gap).withColumn("__n", F.size(ids))
+def collate_left(df: DataFrame, ids: str, pad: int, batch: str) -> DataFrame:
+    """df with ids padded on the left to the greatest length in their batch, mask and position_ids (0 for padding)."""
+    longest = df.groupBy(batch).agg(F.max(F.size(ids)).alias("__m"))
+    gap = F.greatest(F.col("__m") - F.size(ids), F.lit(0))
+    d = df.join(longest, batch).withColumn("__gap", gap).withColumn("__n", F.size(ids))
     d = d.withColumn("input_ids", F.concat(F.array_repeat(F.lit(pad), F.col("__gap")), F.col(ids)))
     d = d.withColumn("mask", F.concat(F.array_repeat(F.lit(0), F.col("__gap")), F.array_repeat(F.lit(1), F.col("__n"))))
     numbers = F.when(F.col("__n") > 0, F.sequence(F.lit(0), F.greatest(F.col("__n") - 1, F.lit(0)))).otherwise(F.expr("cast(array() as array<int>)"))
-    return d.withColumn("position_ids", F.concat(F.array_repeat(F.lit(0), F.col("__gap")), numbers)).drop("__gap", "__n")
+    return d.withColumn("position_ids", F.concat(F.array_repeat(F.lit(0), F.col("__gap")), numbers)).drop("__gap", "__n", "__m")
 
 
 def teacher_rows(df: DataFrame, label: Column, truth: Column) -> DataFrame:

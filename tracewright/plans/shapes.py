@@ -33,8 +33,10 @@ def onpolicy_groups(spark, folder):
 
 
 def left_pad_collate(spark, folder):
-    d = table(spark, folder, "results").where("generated_token_ids is not null").select("result_id", F.slice("generated_token_ids", 1, 40).alias("ids"))
-    d = batches.collate_left(d, "ids", 0)
+    """Whole id lists in batches of 256 rows, padded to the greatest length of their batch."""
+    d = table(spark, folder, "results").where("generated_token_ids is not null").select("result_id", F.col("generated_token_ids").alias("ids"))
+    d = batches.splits(batches.with_ordinal(d, [F.col("result_id")]), "ordinal", 256, "batch")
+    d = batches.collate_left(d, "ids", 0, "batch")
     return d.select("result_id", *(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("input_ids", "mask", "position_ids")))
 
 
