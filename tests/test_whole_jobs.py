@@ -3,12 +3,15 @@
 The SQL of whole jobs stands here where a query's registered SQL holds the cut that the query no longer makes.
 """
 
+import pytest
+
 from tests.oracle import compare, connect
 from tracewright.operators import batches
-from tracewright.plans import shapes, tables
+from tracewright.plans import metrics, shapes, tables
 
 WHOLE_SAMPLES = tables.ORACLE["samples_loaded"].replace("left(text, 80) AS q", "text AS q")
 WHOLE_COLLATE = shapes.ORACLE["left_pad_collate"].replace("generated_token_ids[:40] AS ids", "generated_token_ids AS ids, (row_number() OVER (ORDER BY result_id) - 1) // 256 AS b").replace("OVER () - len", "OVER (PARTITION BY b) - len")
+WHOLE_CHECKPOINTS = {n: metrics.ORACLE[n].replace("c_custkey % 10 = 0 AND ", "") for n in ("latest_checkpoint", "checkpoint_retention")}
 
 
 def test_samples_loaded_keeps_whole_questions(spark, sf):
@@ -39,3 +42,15 @@ def test_collate_pads_to_the_batch(spark):
 def test_left_pad_collate_in_batches(spark, tmp_path):
     spark.range(600).selectExpr("id as result_id", "transform(sequence(1, cast(id + 1 as int)), x -> 9) as generated_token_ids").write.parquet(f"{tmp_path}/results.parquet")
     compare(shapes.left_pad_collate(spark, str(tmp_path)), connect(str(tmp_path)), WHOLE_COLLATE)
+
+
+def test_every_customer_has_a_path(spark, sf):
+    got = [r["path"] for r in metrics._paths(spark, sf).collect()]
+    keys = [k for (k,) in connect(sf).execute("SELECT c_custkey FROM customer").fetchall()]
+    assert sorted(got) == sorted(f"/run/{'global_step_' if k % 7 else 'tmp_'}{k}" for k in keys)
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE_CHECKPOINTS))
+def test_checkpoints_of_all_rows(name, spark, sf):
+    assert "% 10" not in WHOLE_CHECKPOINTS[name]
+    compare(metrics.QUERIES[name](spark, sf), connect(sf), WHOLE_CHECKPOINTS[name])
