@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewright.functions import stats
 from tracewright.functions import text as tx
 from tracewright.operators import advantages, batches, groups, rubrics
 from tracewright.plans import rubrics as rubric_plans
@@ -71,10 +72,13 @@ def metric_reduce(spark, folder):
 
 
 def attribution_spans(spark, folder):
-    """Quotes (the first block's text) located in the response, and the tokens they overlap."""
-    d = table(spark, folder, "results").where("tokens is not null and response is not null").select("result_id", "response", "tokens", F.get("candidate_blocks", F.lit(0))["text"].alias("q"))
-    d = d.select("result_id", rubrics.attribution_span(F.col("response"), F.col("tokens"), F.col("q")).alias("s"))
-    return d.select("result_id", "s.char_start", "s.char_end", "s.token_start", "s.token_end")
+    """Quotes (the texts of all blocks, `block` is the place in their list) located in the response, and the tokens they
+    overlap. A response without blocks has one row, without a block."""
+    d = table(spark, folder, "results").where("tokens is not null and response is not null").select("result_id", "response", stats.only(F.col("tokens"), "char_start", "char_end").alias("tokens"), F.col("candidate_blocks")["text"].alias("q"))
+    texts = F.when(F.size("q") > 0, F.col("q")).otherwise(F.array(F.lit(None).cast("string")))
+    found = F.transform(texts, lambda q: rubrics.attribution_span(F.col("response"), F.col("tokens"), q))
+    d = d.select("result_id", (F.size("q") > 0).alias("any"), F.posexplode_outer(found).alias("at", "s"))
+    return d.select("result_id", F.when(F.col("any"), F.col("at")).alias("block"), "s.char_start", "s.char_end", "s.token_start", "s.token_end")
 
 
 def score_groups(spark, folder):
@@ -98,7 +102,7 @@ def advantage_dispatch(spark, folder):
     for kind in advantages.ESTIMATORS:
         d = advantages.advantages(_responses(spark, folder), kind).select("result_id", F.lit(kind).alias("estimator"), F.round(F.get("advantages", F.lit(0)), 6).alias("first"), F.round(F.aggregate("advantages", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
         out = d if out is None else out.unionByName(d)
-    return out.where("estimator in ('grpo', 'remax')")
+    return out
 
 
 def base_urls(spark, folder):
