@@ -6,6 +6,7 @@ The SQL of whole jobs stands here where a query's registered SQL holds the cut t
 import pytest
 
 from tests.oracle import compare, connect
+from tracewright.llm import spam
 from tracewright.operators import batches
 from tracewright.plans import metrics, shapes, tables
 
@@ -85,3 +86,14 @@ def test_all_blocks_are_located(spark, sf):
     got = [tuple(r) for r in shapes.attribution_spans(spark, sf).collect()]
     assert max(w[1] or 0 for w in want) > 0
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_share_of_spam_is_measured_for_all(spark):
+    """Product lists of long words in half of the characters, prose of short ones, so that most words are prose."""
+    prose = "It is not so that we can be in it if he is at it and so am I, but is it as it was or is it in one. "
+    page = prose * 10 + "\n" + "".join(f"refrigerator | dishwashers | thermostat | sku{i}\n" for i in range(30))
+    f, words = spam.features(page, "en")[1:3]
+    assert f[0] >= 0.3 and spam.spam_share(page, words) > 0.5
+    d = spark.createDataFrame([(1, page, "en"), (2, prose * 5, "en")], "doc_id bigint, text string, lang string")
+    got = {r["id"]: r["share"] for r in spam.measure(d, "doc_id", "text", "lang").collect()}
+    assert got == {1: spam.spam_share(page, words), 2: 0.0}

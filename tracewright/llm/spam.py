@@ -4,7 +4,8 @@ Method: every text gets features of density, entropy, repetition and function wo
 of the features are computed per language over all texts; a text is an outlier by its robust Mahalanobis
 distance, and of interest if it lies in a spam-directed direction (fewer function words and sentences, more
 repetition, links and separators). An exact check follows: more than half of an outlier's characters must
-stand in parts that are no sentences, but repeated keywords, links, menus, product or tag lists. Tables, code,
+stand in parts that are no sentences, but repeated keywords, links, menus, product or tag lists. That share is
+measured for every text that has features, in the same pass. Tables, code,
 lists of answers and glossaries are neither and don't count as spam.
 
 One pass over the texts in Arrow batches; all that follows reads a few numbers for each text. The centre and
@@ -179,9 +180,7 @@ def _measure(id_col: str, text: str, lang: str):
                     continue
                 key, f, words, _ = m
                 ids.append(i), keys.append(key), fs.append(f)
-                # More than half spam parts leave a text at most half the function words of plain sentences
-                # (at most 0.55 of all words), so the exact share isn't needed above that.
-                shares.append(spam_share(t, words) if f[0] < 0.3 else 0.0)
+                shares.append(spam_share(t, words))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(fs, pa.list_(pa.float64())), pa.array(shares, pa.float64())], names=["id", "lang", "f", "share"])
 
     return work
