@@ -1,3 +1,4 @@
+import math
 from collections import defaultdict
 
 import pytest
@@ -56,18 +57,43 @@ def test_mix(spark):
     assert sum(r["actual_share"] for r in s.values()) == pytest.approx(1)
     again = {r["doc_id"]: r["uses"] for r in mix.mix(d.repartition(5), t)[0].collect()}
     assert again == {r["doc_id"]: r["uses"] for r in u}
-    more = spark.createDataFrame([("big", 0.8, 3), ("small", 0.2, 5)], "source string, target_share double, max_repeats int")
-    larger = {r["doc_id"]: r["uses"] for r in mix.mix(d, more)[0].where("source = 'big'").collect()}
-    assert all(larger[r["doc_id"]] >= r["uses"] for r in u if r["source"] == "big")  # a larger target keeps what a smaller one took
     assert mix.mix(d.limit(0), t)[1].count() == 3 and mix.mix(d.limit(0), t)[0].count() == 0
 
 
-def test_mix_rest_is_spread(spark):
-    """Inclusion of the rest is near its probability for small and large documents alike."""
-    d = spark.createDataFrame([(i, "a", 10 if i % 2 else 1000) for i in range(8000)], "doc_id bigint, source string, n_tokens int")
-    t = spark.createDataFrame([("a", 0.3, 1)], "source string, target_share double, max_repeats int")
-    got = mix.mix(d, t)[0].groupBy("n_tokens").agg(F.avg("uses").alias("m")).collect()
-    assert all(abs(r["m"] - 0.3) < 0.04 for r in got)
+def expected_uses(sizes, target, most, power):
+    """The plain way: the rate by bisection."""
+    w = [2 ** (math.floor(math.log2(n) * mix.STEPS) * power / mix.STEPS) for n in sizes]
+    lo, hi = 0.0, 1e9
+    for _ in range(200):
+        c = (lo + hi) / 2
+        lo, hi = (c, hi) if sum(n * min(most, c * x) for n, x in zip(sizes, w, strict=True)) < target else (lo, c)
+    return [min(most, lo * x) for x in w]
+
+
+@pytest.mark.parametrize("target_share,most,power", [(0.3, 1, 0.5), (0.7, 1, 1.0), (0.9, 4, 0.5), (0.5, 2, 0.0), (1.0, 1, 0.5)])
+def test_mix_inclusion_follows_each_documents_odds(spark, target_share, most, power):
+    sizes = [[10, 100, 1000][i % 3] for i in range(6000)]
+    d = spark.createDataFrame([(i, "a", n) for i, n in enumerate(sizes)] + [(9000, "b", 10)], "doc_id bigint, source string, n_tokens int")
+    t = spark.createDataFrame([("a", target_share, most), ("b", 1 - target_share, 1)], "source string, target_share double, max_repeats int")
+    uses, shares = mix.mix(d, t, power=power)
+    total = sum(sizes) + 10
+    want = expected_uses(sizes, target_share * total, most, power)
+    got = {r["doc_id"]: r for r in uses.collect()}
+    assert all(abs(got[i]["mean_uses"] - w) < 1e-6 and math.floor(w) <= got[i]["uses"] <= min(most, math.floor(w) + 1) for i, w in enumerate(want))
+    for k in range(3):
+        own = [i for i in range(6000) if i % 3 == k]
+        assert abs(sum(got[i]["uses"] for i in own) - sum(want[i] for i in own)) < 0.04 * len(own)
+    a = shares.where("source = 'a'").collect()[0]
+    assert abs(a["used_tokens"] - min(target_share * total, most * sum(sizes))) <= 500
+    assert a["is_short"] == (target_share * total > most * sum(sizes))
+
+
+def test_short_sources_come_after_the_sampling(spark):
+    """What is short is read off the uses, so the plan holds the ranking."""
+    d = spark.createDataFrame([(i, "ab"[i % 2], 10 + i) for i in range(50)], "doc_id bigint, source string, n_tokens int")
+    t = spark.createDataFrame([("a", 0.9, 1), ("b", 0.1, 1)], "source string, target_share double, max_repeats int")
+    short = mix.mix(d, t)[1].where("is_short").select("source")
+    assert "Window" in short._jdf.queryExecution().optimizedPlan().toString() and [r[0] for r in short.collect()] == ["a"]
 
 
 def test_tokens(spark):
