@@ -110,19 +110,39 @@ PLAIN = [PROSE * 5, "\n".join(f"{i}. {'ABCD'[i % 4]}" for i in range(80)) + "\n"
 
 
 def share(t):
-    return spam.spam_share(t, spam.features(t, None)[2])
+    return spam.features(t, None)[1][spam.FEATURES.index("listing")]
 
 
-def test_shares():
+def test_listing():
     assert all(share(t) > 0.9 for t in SPAM)
     assert all(share(t) < 0.2 for t in PLAIN)
     assert 0.4 < share(PROSE * 2 + "\n" + "cheap tutor, essay writer, " * 12) < 0.6
-    assert spam.features("too short", None) is None
+    assert share("cheap tutor cheap cheap tutor") == 1.0 and share("It is the rotor.") == 0.0  # five words
+    assert share("Residue class notes, free residue class, buy residue class, " * 9) > 0.9  # no code
+    assert share("".join(f'<a href="http://b.test/{i}">{"tutor " * 80}</a>\n' for i in range(3))) == 1.0  # link texts of any length
+    assert spam.features(" \n?", None) is None and spam.features("word", None)[0] == "und"
 
 
 def test_spam_pages(spark):
-    rows = [(i, PROSE * (1 + i % 5) + f"Part {i} is next to the other.", "en") for i in range(150)] + [(1000 + i, t, None) for i, t in enumerate(SPAM)] + [(2000 + i, t, "EN ") for i, t in enumerate(PLAIN)] + [(3000, None, "en"), (3001, "", None), (3002, "x " * 30_000, "und")]
+    rows = [(i, PROSE * (1 + i % 5) + f"Part {i} is next to the other.", "en") for i in range(150)] + [(1000 + i, t, None) for i, t in enumerate(SPAM)] + [(2000 + i, t, "EN ") for i, t in enumerate(PLAIN)] + [(3000, None, "en"), (3001, "", None), (3002, "x " * 30_000, "und"), (3003, "cheap tutor cheap cheap tutor", "en"), (3004, "It is the rotor.", "en"), (3005, "short", "en")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     got = {r["doc_id"] for r in spam.spam_pages(d).where("is_spam").collect()}
-    assert {1000 + i for i in range(len(SPAM))} <= got and not {i for i in got if i < 1000 or 2000 <= i < 3000}
+    assert {1000 + i for i in range(len(SPAM))} <= got and not {i for i in got if i < 1000 or 2000 <= i < 3000 or i > 3003}
+    assert 3003 in got
     assert spam.spam_pages(d.limit(0)).count() == 0
+
+
+def test_lists_are_no_outliers_where_most_pages_are_lists(spark):
+    """Distance is from the language's centre: nothing but distance and direction decides."""
+    lists = [(i, "".join(f"Piece X{i}{k} | SKU {k}-D | stock | note, essai\n" for k in range(20 + i % 7)), "fr") for i in range(60)]
+    prose = [(1000 + i, PROSE * (1 + i % 5) + f"Part {i} is next to the other.", "en") for i in range(150)] + [(2000, lists[0][1], "en")]
+    got = {r["doc_id"]: r for r in spam.spam_pages(spark.createDataFrame(lists + prose, "doc_id bigint, text string, lang string")).collect()}
+    assert all(got[i]["listing"] > 0.9 and not got[i]["is_spam"] for i in range(60))
+    assert got[2000]["is_spam"] and got[2000]["listing"] == got[0]["listing"]
+
+
+def test_unknown_languages_are_held_against_all_texts(spark):
+    """However many pages without a language there are, they aren't their own measure."""
+    rows = [(i, PROSE * (1 + i % 5) + f"Part {i} is next to the other.", "en") for i in range(300)] + [(1000 + i, f"tutor{i % 9}, essay, report, " * 20, None) for i in range(60)]
+    got = spam.spam_pages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).where("is_spam")
+    assert {r["doc_id"] for r in got.collect()} == {1000 + i for i in range(60)}

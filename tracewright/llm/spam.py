@@ -1,15 +1,19 @@
 """Problem 8: keyword-stuffed and link-list pages.
 
 Method: every text gets features of density, entropy, repetition and function words; robust centre and scatter
-of the features are computed per language over all texts; a text is an outlier by its robust Mahalanobis
-distance, and of interest if it lies in a spam-directed direction (fewer function words and sentences, more
-repetition, links and separators). An exact check follows: more than half of an outlier's characters must
-stand in parts that are no sentences, but repeated keywords, links, menus, product or tag lists. That share is
-measured for every text that has features, in the same pass. Tables, code,
-lists of answers and glossaries are neither and don't count as spam.
+of the features are computed per language over all texts; a text is flagged if its robust Mahalanobis distance
+makes it an outlier and if it lies in the spam-directed direction (fewer function words and sentences, more
+repetition, links, separators and listing): its part of the distance along that direction must be large itself.
+Nothing else decides.
+
+`listing` is a density too: the share of a text's characters that stand in parts that are no sentences, but
+repeated keywords, links, menus, product or tag lists. Tables, code, lists of answers and glossaries are
+neither. It weighs most in the direction, as the others also rise in reading lists, answer keys and terms that
+are repeated in sentences; but it counts from the language's centre, like all features: where most pages are lists,
+a list is no outlier.
 
 One pass over the texts in Arrow batches; all that follows reads a few numbers for each text. The centre and
-scatter are a row for each language (six keys; all other languages share one), so they go to the driver.
+scatter are a row for each language (five, and one over all texts for the others), so they go to the driver.
 """
 
 from __future__ import annotations
@@ -27,14 +31,13 @@ from pyspark.sql import functions as F
 
 from tracewright.session import settle
 
-FEATURES = ("words", "stops", "repeats", "entropy", "links", "separators")
+FEATURES = ("words", "stops", "repeats", "entropy", "links", "separators", "listing")
 #: Towards spam, by feature.
-DIRECTION = np.array([-1.0, -1.0, 1.0, -1.0, 1.0, 1.0])
-LEAST_WORDS = 6
-#: Chi-square of six degrees of freedom at 0.8: a wide gate, since the exact check decides.
-DISTANCE2 = 8.56
-SHARE = 0.5
-KEYS = ("en", "es", "de", "fr", "zh", "und")
+DIRECTION = np.array([-1.0, -1.0, 1.0, -1.0, 1.0, 1.0, 4.0])
+#: Chi-square of seven degrees of freedom at 0.999.
+DISTANCE2 = 24.32
+#: Least part of the distance along the spam direction.
+TOWARDS = 18.0
 
 # Short frequent words of sentences, by language; words that advertisements use too are left out.
 STRONG = {
@@ -48,13 +51,13 @@ _ZH = frozenset("的了是在和不有这那么因从中如果需每再但就一
 _WORD = re.compile(r"[^\W_]+")
 _CJK = re.compile(r"[㐀-鿿]")
 _CJK_RUN = re.compile(r"[㐀-鿿]+")
-_LINK = re.compile(r"<a\s[^>]*>[^<]{0,300}</a>|\[[^\]\n]{0,200}\]\([^)\s]*\)|(?:https?://|www\.)[^\s<>\"]+|(?<![\w@.])[\w-]+(?:\.[\w-]+)+/[^\s<>\"]*|#\w+", re.I)
-_TAG = re.compile(r"</?[a-z][^>\n]{0,200}>", re.I)
-_BREAK = re.compile(r"<br\s*/?>|</?(?:p|li|div|tr|ul|ol|h\d)\b[^>]*>", re.I)
+_LINK = re.compile(r"<a\s[^<>]*>[^<]*</a>|\[[^\[\]\n]*\]\([^()\s]*\)|(?:https?://|www\.)[^\s<>\"]+|(?<![\w@.-])[\w-]+(?:\.[\w-]+)+/[^\s<>\"]*|#\w+", re.I)
+_TAG = re.compile(r"</?[a-z][^<>\n]*>", re.I)
+_BREAK = re.compile(r"<br\s*/?>|</?(?:p|li|div|tr|ul|ol|h\d)\b[^<>]*>", re.I)
 _STOP = re.compile(r"[.!?](?=\s|$)|[。！？]")
 _SEP = re.compile(r"[|»›>,;#/·•]|::|\*\s")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
-_CODE = re.compile(r"(?:^|\s)(?:import|def|return|for\s+\w+\s+in|print\(|while|class|var|let|const|function|SELECT)\b.*|[{}]\s*$|\w+\(.*\)|\s=\s|\+=|\w\[\w*\]")
+_CODE = re.compile(r"^\s*(?:import|from|def|return|while|var|let|const|function|SELECT)\s|\bclass\s+\w+\s*[:({]|\bfor\s+\w+\s+in\s+[\w.]+(?:\(|:)|\bprint\(|[{}]\s*$|\w+\(.*\)|\s=\s|\+=|\w\[\w*\]")
 LONG = 240
 
 
@@ -72,17 +75,20 @@ def language_key(lang: str | None, words: Counter, cjk: int, n: int) -> str:
     return score[0][1] if score[0][0] >= 3 and score[0][0] > score[1][0] else "und"
 
 
-def features(text: str, lang: str | None) -> tuple[str, list[float], Counter, int] | None:
-    """Language key, the FEATURES, counts of words and number of Chinese characters; None for too short texts."""
-    low = _plain(text).lower()
+def _has_links(text: str) -> bool:
+    return "/" in text or "#" in text or "www." in text or "WWW." in text
+
+
+def features(text: str, lang: str | None) -> tuple[str, list[float]] | None:
+    """Language key and the FEATURES; None for texts without a word."""
+    plain = _plain(text)
+    low = plain.lower()
     list_of = _WORD.findall(low)
-    cjk = 0
-    if _CJK.search(low):
-        cjk = len(_CJK.findall(low))
     n = len(list_of)
-    size = max(n, cjk // 2)
-    if size < LEAST_WORDS:
+    if not n:
         return None
+    cjk = len(_CJK.findall(low)) if _CJK.search(low) else 0
+    size = max(n, cjk // 2)
     words = Counter(list_of)
     strong = sum(words[w] for w in _ANY & words.keys())
     if cjk:
@@ -90,12 +96,12 @@ def features(text: str, lang: str | None) -> tuple[str, list[float], Counter, in
     total = n + cjk - (sum(words[w] for w in words if _CJK.match(w)) if cjk else 0)
     repeats = sum(c for w, c in words.items() if c >= 3 and len(w) > 2 and w not in _ANY)
     entropy = -sum(c / n * math.log2(c / n) for c in words.values())
-    links = sum(m.end() - m.start() for m in _LINK.finditer(text)) if "/" in text or "#" in text or "www." in low else 0
+    links = sum(m.end() - m.start() for m in _LINK.finditer(text)) if _has_links(text) else 0
     f = [
         strong / max(1, total), len(_STOP.findall(low)) / size, repeats / n, entropy / math.log2(max(n, 2)),
-        links / len(text), len(_SEP.findall(low)) / size,
+        links / len(text), len(_SEP.findall(low)) / size, listing(plain, words),
     ]
-    return language_key(lang, words, cjk, n), f, words, cjk
+    return language_key(lang, words, cjk, n), f
 
 
 def _parts(text: str) -> Iterator[str]:
@@ -118,12 +124,14 @@ def _parts(text: str) -> Iterator[str]:
 
 def spam_part(part: str, words: Counter) -> bool | None:
     """True: keywords, links, menu, product or tag list. False: a sentence. None: neither."""
-    found = [m.span() for m in _LINK.finditer(part)]
-    linked = sum(b - a for a, b in found)
-    rest = part
-    for a, b in reversed(found):
-        rest = rest[:a] + " " + rest[b:]
-    rest = _TAG.sub(" ", rest)
+    linked, rest = 0, part
+    if _has_links(part):
+        found = [m.span() for m in _LINK.finditer(part)]
+        linked = sum(b - a for a, b in found)
+        for a, b in reversed(found):
+            rest = rest[:a] + " " + rest[b:]
+    if "<" in rest:
+        rest = _TAG.sub(" ", rest)
     w = _WORD.findall(rest.lower())
     strong = sum(x in _ANY for x in w)
     cjk = len(_CJK.findall(rest))
@@ -156,32 +164,27 @@ def spam_part(part: str, words: Counter) -> bool | None:
     return None
 
 
-def spam_share(text: str, words: Counter) -> float:
+def listing(text: str, words: Counter) -> float:
     """Share of a text's characters that stand in spam parts."""
-    t = _plain(text)
     spam = total = 0
-    for p in _parts(t):
+    for p in _parts(text):
         total += len(p)
         if spam_part(p, words):
             spam += len(p)
     return spam / total if total else 0.0
 
 
-MEASURED = "id bigint, lang string, f array<double>, share double"
+MEASURED = "id bigint, lang string, f array<double>"
 
 
 def _measure(id_col: str, text: str, lang: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, keys, fs, shares = [], [], [], []
+            ids, keys, fs = [], [], []
             for i, t, g in zip(b.column(id_col).to_pylist(), b.column(text).to_pylist(), b.column(lang).to_pylist(), strict=True):
-                m = features(t, g) if t else None
-                if m is None:
-                    continue
-                key, f, words, _ = m
-                ids.append(i), keys.append(key), fs.append(f)
-                shares.append(spam_share(t, words))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(fs, pa.list_(pa.float64())), pa.array(shares, pa.float64())], names=["id", "lang", "f", "share"])
+                if t and (m := features(t, g)):
+                    ids.append(i), keys.append(m[0]), fs.append(m[1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(fs, pa.list_(pa.float64()))], names=["id", "lang", "f"])
 
     return work
 
@@ -190,18 +193,18 @@ def measure(df: DataFrame, id_col: str, text: str, lang: str) -> DataFrame:
     return df.select(F.col(id_col).cast("bigint").alias(id_col), text, lang).mapInArrow(_measure(id_col, text, lang), MEASURED)
 
 
-FLOOR = np.array([0.04, 0.02, 0.08, 0.04, 0.02, 0.08])
+FLOOR = np.array([0.04, 0.02, 0.08, 0.04, 0.02, 0.08, 0.04])
 
 
 def robust_models(measured: DataFrame, least: int = 40) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By language key: medians, scales (quartile range / 1.349, with a floor) and inverse of the robust scatter, which
-    is that of the scaled features clipped at 2.5. Over all texts; '*' is over all languages, and languages of
-    fewer than `least` texts use it."""
+    is that of the scaled features clipped at 2.5. Over all texts; '*' is over all languages, and texts of languages
+    of fewer than `least` texts or of no known language use it."""
     k = len(FEATURES)
     both = measured.select("lang", "f").unionByName(measured.select(F.lit("*").alias("lang"), "f"))
     quart = [F.percentile_approx(F.col("f")[i], [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i in range(k)]
     first = both.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *quart).collect()
-    centre = {r["lang"]: (np.array([r[f"q{i}"][1] for i in range(k)]), np.maximum(np.array([(r[f"q{i}"][2] - r[f"q{i}"][0]) / 1.349 for i in range(k)]), FLOOR)) for r in first if r["lang"] == "*" or r["n"] >= least}
+    centre = {r["lang"]: (np.array([r[f"q{i}"][1] for i in range(k)]), np.maximum(np.array([(r[f"q{i}"][2] - r[f"q{i}"][0]) / 1.349 for i in range(k)]), FLOOR)) for r in first if r["lang"] == "*" or (r["lang"] != "und" and r["n"] >= least)}
     if not centre:
         return {}
     z = []
@@ -222,11 +225,11 @@ def robust_models(measured: DataFrame, least: int = 40) -> dict[str, tuple[np.nd
     return out
 
 
-def outliers(measured: DataFrame, models: dict, distance2: float = DISTANCE2) -> DataFrame:
-    """measured with distance2 (squared robust Mahalanobis distance), towards (the part of it in the spam direction,
-    signed) and is_outlier. The models, a row for each language, are joined as linear forms of the features."""
+def outliers(measured: DataFrame, models: dict, distance2: float = DISTANCE2, towards: float = TOWARDS) -> DataFrame:
+    """measured with distance2 (squared robust Mahalanobis distance), towards (the part of the distance along the spam
+    direction, signed), is_outlier (by distance) and is_spam (by distance and direction). The models, a row for each language, are joined as linear forms of the features."""
     if not models:
-        return measured.withColumns({"distance2": F.lit(None).cast("double"), "towards": F.lit(None).cast("double"), "is_outlier": F.lit(False)})
+        return measured.withColumns({"distance2": F.lit(None).cast("double"), "towards": F.lit(None).cast("double"), "is_outlier": F.lit(False), "is_spam": F.lit(False)})
     k = len(FEATURES)
     rows = []
     for key, (m, s, inv) in models.items():
@@ -240,14 +243,16 @@ def outliers(measured: DataFrame, models: dict, distance2: float = DISTANCE2) ->
     line = lambda cs, c: sum((F.col(n) * F.col("f")[i] for i, n in enumerate(cs)), F.col(c))
     d2 = sum((F.pow(line([f"a{i}_{q}" for q in range(k)], f"b{i}"), F.lit(2.0)) for i in range(k)), F.lit(0.0))
     out = j.select(*measured.columns, d2.alias("distance2"), line([f"u{q}" for q in range(k)], "u").alias("towards"))
-    return out.withColumn("is_outlier", (F.col("distance2") > distance2) & (F.col("towards") > 0))
+    out = out.withColumn("is_outlier", F.col("distance2") > distance2)
+    return out.withColumn("is_spam", F.col("is_outlier") & (F.col("towards") > towards))
 
 
-def spam_pages(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", share: float = SHARE) -> DataFrame:
-    """(id, lang, distance2, towards, share, is_outlier, is_spam) for each text of at least LEAST_WORDS words.
+def spam_pages(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", distance2: float = DISTANCE2, towards: float = TOWARDS) -> DataFrame:
+    """(id, lang, distance2, towards, listing, is_outlier, is_spam) for each text with a word in it.
 
-    Null, empty and shorter texts have no row. Copies are scored alike, each with its own row. An unknown or
-    missing language is guessed from the function words, else 'und'. An empty table gives no rows."""
+    Null and empty texts and texts of signs only have no row. Copies are scored alike, each with its own row. An
+    unknown or missing language is guessed from the function words, else 'und', which is held against all
+    texts. An empty table gives no rows."""
     measured = settle(measure(df, id_col, text, lang))  # a few numbers for each text, read three times
-    out = outliers(measured, robust_models(measured))
-    return out.select(F.col("id").alias(id_col), "lang", "distance2", "towards", "share", "is_outlier", (F.col("is_outlier") & (F.col("share") > share)).alias("is_spam"))
+    out = outliers(measured, robust_models(measured), distance2, towards)
+    return out.select(F.col("id").alias(id_col), "lang", "distance2", "towards", F.col("f")[FEATURES.index("listing")].alias("listing"), "is_outlier", "is_spam")
