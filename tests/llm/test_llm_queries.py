@@ -3,6 +3,7 @@
 import pytest
 
 from tests.oracle import compare, connect
+from tracewright.llm import truncation
 from tracewright.llm.queries import ORACLE, QUERIES
 
 COLUMNS = {
@@ -23,7 +24,10 @@ def test_query(name, spark, sf):
 
 
 def test_cut_and_found_agree(spark, sf):
-    """Problem 5's truncated responses are problem 4's rows, but for those that limits or longer versions show."""
-    cut = {r[0] for r in QUERIES["p4_found"](spark, sf).collect()}
+    """Every row of problem 4 has a probability at the threshold. Problem 5's truncated responses are these rows and those
+    that limits or longer versions show."""
+    scores = QUERIES["p4_scores"](spark, sf).collect()
+    cut = {r["result_id"] for r in scores if r["is_cut"]}
+    assert all(r["p_cut"] >= truncation.THRESHOLD for r in scores if r["is_cut"])
     five = {r["result_id"] for r in QUERIES["p5_found"](spark, sf).where("defect = 'truncated'").collect()}
     assert cut <= five

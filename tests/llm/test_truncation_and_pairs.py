@@ -1,6 +1,7 @@
 from random import Random
 
 import pytest
+import xxhash
 
 from tracewright.llm import pairs, truncation
 from tracewright.llm.queries import _answered
@@ -17,7 +18,7 @@ def test_held_out_accuracy(rows):
     r = Random(1)
     r.shuffle(intact)
     half = len(intact) // 2
-    w = truncation.fit(*truncation.training_set(intact[:half]))
+    w = truncation.fit(*truncation.training_set([(t, g, False, None) for t, g in intact[:half]]))
     hit = n = 0
     for t, g in intact[half:]:
         core = truncation.core_of(t)[0]
@@ -37,10 +38,31 @@ def test_ends():
     assert f.is_open("<think>\na") and not f.is_open("<think>a</think> b") and not f.is_open("")
     assert f.ends_with_gold("Then so.\nAnswer: 21.96", "21.96") and not f.ends_with_gold("Answer: 2", "21.96")
     assert f.ends_with_gold("x\n\\boxed{No}", "No") and not f.ends_with_gold("x\n\\boxed{No", "No") and not f.ends_with_gold("x", None)
-    assert f.in_number("因此需要从41中减去278，得到39.") and not f.in_number("答案: 39.") and not f.in_number("")
+    assert f.script_of("因此得到39.") == "cjk" and f.script_of("It is 39.") == "latin" and f.script_of("39.") == "none"
     assert f.features("", None, False) and f.features("\x00" * 9000, None, True)
 
 
+def test_open_sections_and_number_ends_are_learned(rows):
+    texts = sorted({(t, g or "") for t, g in rows if t and truncation.looks_intact(t, g)})
+    texts += [(f"这意味着每个样本再增加7个单位。另外，条款必须满足给定的条件。因此需要从{i}.{i % 7}中减去{i * 3}。首先计算边界的值，得到{i}.25。", "7") for i in range(200)]
+    w = truncation.fit(*truncation.training_set([(t, g, False, None) for t, g in texts]))
+    for text in ("<think>\n1. The bound of 5 is never reached.", "<think>\nSo it is 5.\nAnswer: 5", "因此需要从41中减去278，得到39."):
+        assert truncation.score(w, text, "7", False) >= truncation.THRESHOLD
+    for text in ("<think>\n1. The bound of 5 is never reached.\n</think>\nAnswer: 5", "因此需要从41中减去278，得到39。", "So the value is 39."):
+        assert truncation.score(w, text, "7", False) < truncation.THRESHOLD
+    assert truncation.score(truncation.fit([], []), "The bound of", None, True) < 1e-9  # nothing to learn from
+
+
+def test_limit_feature_is_measured(rows):
+    """Where unfinished texts stand at a limit, cuts are made there; where none do, the feature never comes with a cut."""
+    texts = sorted({(t, g or "") for t, g in rows if t and len(t) > 300})
+    on = truncation.features("The bound of", None, True)
+    limit = (set(on) - set(truncation.features("The bound of", None, False))).pop()
+    for at, many in ((True, True), (False, False)):
+        x, y = truncation.training_set([(t, g, at and not truncation.looks_intact(t, g), 200) for t, g in texts])
+        assert any(limit in f for f, c in zip(x, y, strict=True) if c) == many and not any(limit in f for f, c in zip(x, y, strict=True) if not c)
+
+
 @pytest.mark.parametrize("text", [None, "", " ​\xa0", "N/A", "null", "(no answer)", "<think></think><answer> </answer>", "Answer: \n", "\\boxed{}", "—", "?"])
 def test_empty(text):
     assert pairs.is_empty(text)
@@ -70,6 +92,14 @@ def test_refusal(text):
     assert pairs.is_refusal(text)
 
 
+def test_long_refusals():
+    long = "I'm sorry, but I can't help with this task. " + "It is part of a live exam and every student must be treated alike. " * 30 + "Please ask a teacher."
+    assert len(long) > 2000 and pairs.is_refusal(long)
+    late = "Thank you for the question. It is a fine one. I have read it. It is long. I must decline to answer it. " + "Ask a tutor. " * 9
+    assert pairs.is_refusal(late)
+    assert not pairs.is_refusal(long + "\nHere is the argument anyway.")
+
+
 @pytest.mark.parametrize("text", ["", "I cannot give an exact value at once, but a bound is enough. So it is 5.\nAnswer: 5", "I'm sorry for the confusion earlier; here is the corrected argument. 3 + 4 = 7.", "The rule cannot hold."])
 def test_no_refusal(text):
     assert not pairs.is_refusal(text)
@@ -81,27 +111,56 @@ def test_language():
     assert pairs.language("Daraus folgt, dass man 35 von 35 abziehen muss und die Menge nicht leer ist.") == "de"
     assert pairs.language("Par conséquent, il faut retrancher 42 de 70, donc la valeur reste à 98.") == "fr"
     assert pairs.language("因此需要从41中减去27，所以结果不变。") == "zh"
+    assert pairs.language("no la es") == "es" and pairs.language("“" + "es la de los " * 400 + "” is what the text of it was, and that is all.") == "en"
     assert pairs.language("B") is None and pairs.language(None) is None
     assert pairs.asked_language(Q + " Reply in Chinese.") == "zh" and pairs.asked_language(Q) == "en"
     assert pairs.asked_language(Q + " (Language of the answer: French)") == "fr"
 
 
 def test_defects_one_for_each_side():
-    assert pairs.defects_of(Q, PROMPT, None, None, False, None) == [("response", "empty"), ("gold_answer", "empty")]
-    assert pairs.defects_of(Q, PROMPT, "It is 5.", "5", False, 0.0) == []
-    assert pairs.defects_of(Q, PROMPT, "It is the", "5", False, 0.9) == [("response", "truncated")]
-    assert pairs.defects_of(None, None, "It is 5.", Q, False, 0.0) == []
+    assert pairs.defects_of(Q, PROMPT, None, None, False) == [("response", "empty"), ("gold_answer", "empty")]
+    assert pairs.defects_of(Q, PROMPT, "It is 5.", "5", False) == []
+    assert pairs.defects_of(Q, PROMPT, "It is the", "5", True) == [("response", "truncated")]
+    assert pairs.defects_of(None, None, "It is 5.", Q, False) == []
+
+
+def test_longer_versions_and_limits_decide_by_themselves():
+    for evidence in ({"goes_on": True}, {"at_limit": True}):
+        assert pairs.is_truncated("First, write the area in terms of", "5", 0.0, **evidence) and not pairs.is_truncated("First, write the area in terms of", "5", 0.0)
+    assert not pairs.is_truncated("So it is 5.", "7", 0.0, at_limit=True)  # a whole ending
+    assert not pairs.is_truncated("First, it is the\nAnswer: 21.5", "21.5", 1.0, True, True)  # the whole expected answer
+    assert not pairs.is_truncated("Rotor", "7", 0.1, goes_on=True) and pairs.is_truncated("Rotor", "7", 0.3, goes_on=True)
+    assert not pairs.is_truncated(None, None, None) and not pairs.is_truncated("", "5", None, True, True)
 
 
 def test_shortened_equals_brute_force(spark):
-    base = "a shared beginning of at least forty characters, "
-    texts = [base + "x" * i for i in range(30)] + [base + "y", "short", None, base + "x" * 5, "z" * 50, "z" * 49 + "y"]
-    d = spark.createDataFrame([(t,) for t in texts], "t string")
-    want = {t for t in texts if t and len(t) >= pairs.LEAST_PREFIX and any(u and u != t and u.startswith(t) for u in texts)}
-    assert {r[0] for r in pairs.shortened(d, "t").collect()} == want
+    base = "a shared beginning, "
+    texts = [base + "x" * i for i in range(30)] + [base + "y", "short", None, base + "x" * 5, "z" * 50, "z" * 49 + "y", "It is so.", "It is so. And it", "It is so.  \n", "It is so. An…", "", " "]
+    texts += [base * 30 + f"{i} and {i}" for i in range(40)] + [base * 30 + f"{i} an" for i in range(20)]  # alike far behind the range key
+    d = spark.createDataFrame([(t,) for t in texts], "t string").repartition(7)
+    plain = {t.rstrip(pairs.ENDING) for t in texts if t and t.rstrip(pairs.ENDING)}
+    want = {}
+    for t in plain:
+        longer = sorted(u for u in plain if u != t and u.startswith(t))
+        if longer:
+            want[(xxhash.xxh64_intdigest(t.encode(), seed=42), len(t))] = pairs.goes_on(t, longer[0])
+    got = {(r["__h"] % (1 << 64), r["__n"]): r["goes_on"] for r in pairs.shortened(d, "t").collect()}
+    assert got == want and True in want.values() and False in want.values()
     assert pairs.shortened(d.limit(0), "t").count() == 0
 
 
+def test_without_the_sort_and_the_limits_rows_are_lost(spark):
+    """Ablation: no score (sample 0). Longer versions and limits show what is truncated, whatever the source."""
+    whole = [f"The {w} of the rotor follows from the rule for part {i}, and the rest is blank at step {i * i}." for i, w in enumerate(["share", "bound", "pulse"] * 30)]
+    cut = [t[: 45 + i % 17] for i, t in enumerate(whole[:20])]
+    at = [f"{'ab cd '[i % 5 :]}{i:03d} then we write the result in terms"[:30] for i in range(24)]  # 30 characters: a limit
+    rows = [(i, "s", Q, PROMPT, t, "5") for i, t in enumerate(whole)] + [(1000 + i, "s", Q, PROMPT, t, "5") for i, t in enumerate(cut)] + [(2000 + i, "short", Q, PROMPT, t, "5") for i, t in enumerate(at)]
+    d = spark.createDataFrame(rows, "result_id bigint, source string, question string, prompt string, response string, gold_answer string")
+    got = {r["result_id"] for r in pairs.broken_pairs(d, sample=0).where("defect = 'truncated'").collect()}
+    assert {2000 + i for i in range(24)} <= got and len({1000 + i for i in range(20)} & got) >= 18 and not {i for i in got if i < 1000}
+    assert pairs.cut_rows(d, sample=0).where("is_cut").count() == 0
+
+
 def test_tables_with_nulls_and_ties(spark):
     rows = [(1, "s", Q, PROMPT, None, None), (2, None, None, None, "x", ""), (3, "s", Q, PROMPT, "long " * 20_000 + "end.", "5"), (3, "s", Q, PROMPT, "long " * 20_000 + "end.", "5"), (None, "s", Q, PROMPT, "", "5")]
     d = spark.createDataFrame(rows, "result_id bigint, source string, question string, prompt string, response string, gold_answer string")
@@ -115,3 +174,10 @@ def test_limits_ignore_copies(spark):
     rows = [("s", "x" * (100 + i % 37) + str(i)) for i in range(200)] + [("s", (str(i) + "y" * 300)[:300]) for i in range(40)] + [("s", "z" * 200)] * 50
     d = spark.createDataFrame(rows, "source string, response string")
     assert {(r["__s"], r["__len"]) for r in truncation.limits(d, "source", "response").collect()} == {("s", 300)}
+
+
+def test_the_sample_does_not_depend_on_the_partitioning(spark, sf):
+    d = _answered(spark, sf)
+    found = truncation.limits(d, "source", "response").cache()
+    w = [truncation.model_for(truncation.with_limit(x, "source", "response", found), "source", "response", "gold_answer", found, sample=50) for x in (d, d.repartition(9))]
+    assert (w[0] == w[1]).all() and w[0].any()

@@ -1,10 +1,12 @@
 """Problem 5: broken prompt and response pairs.
 
 Method: the different responses are sorted by text and compared with their neighbours' common prefixes, which
-finds shortened versions of other responses (for them half the threshold is enough); lengths at which a
-source's responses pile up are its limits, which are a feature of problem 4's regression on the ending. Copy, refusal and language
-rules follow. Every rule reads the whole texts and is one pass without a shuffle; only the different
-texts are sorted, so that copies of one text can't make one partition large.
+finds shortened versions of other responses; one that stops where the longer text leaves a word or sentence
+open is truncated. Lengths at which a source's responses pile up are its limits; a response at a limit without a
+whole ending is truncated. Both decide by themselves. As only a part of the truncated responses has a longer version or
+stands at a limit, problem 4's score decides for the others. Copy, refusal and language rules follow. Every rule
+reads the whole texts and is one pass without a shuffle; only the different texts are sorted, so that copies of
+one text can't make one partition large.
 """
 
 from __future__ import annotations
@@ -15,16 +17,20 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from tracewright.llm import truncation as cut
 from tracewright.session import settle
 
-LEAST_PREFIX = 40
-SAMPLED = 150_000
+#: Texts are spread over the sort's partitions by this many characters, so what sets the ranges is bounded.
+RANGE_KEY = 256
+#: Closing characters that don't belong to a text: blanks and dots of omission.
+ENDING = " \t\n\r\u00a0\u3000\u200b\u2060\ufeff…"
 
 # Placeholders for "nothing here", compared in lower case without brackets and stops.
 PLACEHOLDERS = frozenset(
@@ -81,7 +87,9 @@ _NAME_OF = {n: k for k, v in NAMES.items() for n in v}
 _TAG = re.compile(r"</?\w{1,20}>")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _CJK = re.compile(r"[\u3400-\u9fff]")
-_QUOTED = re.compile(r"\"[^\"\n]{0,600}\"|“[^”\n]{0,600}”|«[^»\n]{0,600}»|「[^」\n]{0,600}」|`[^`\n]*`")
+_QUOTED = re.compile(r"\"[^\"\n]*\"|“[^“”\n]*”|«[^«»\n]*»|「[^「」\n]*」|`[^`\n]*`")
+# How a sentence that goes on to argue begins, in the languages of the data.
+_GOES_ON = re.compile(r"^[\W_]*(?:here is|here's|let's|let us|let me|first,|firstly|then|therefore|hence|thus|so |consequently|since|it follows|still,|nevertheless|however, we|aquí|primero|entonces|por lo tanto|así que|luego|hier ist|zuerst|also |daraus|daher|folglich|voici|d'abord|donc|ainsi|par conséquent|首先|因此|所以|于是|那么)")
 _PARTS = re.compile(r"(?:[^\W\d_]+|\d+(?:[.,]\d+)*)")
 _LEAD = re.compile(r"^\W*(?:question|problem statement|problem|task|exercise|q|pregunta|ejercicio|frage|aufgabe|exercice|问题|题目)\W*[:：]\s*", re.I)
 _ANSWER_LINE = re.compile(rf"(?:^|\n)[\W_]*(?:{cut.LABELS})\**\s*[:：]\**[ \t]*(?P<v>[^\n]*)", re.I)
@@ -181,7 +189,8 @@ def language(text: str | None) -> str | None:
     score["es"] += sum(low.count(c) for c in "ñ¿¡óíáú") / 4
     score["fr"] += sum(low.count(c) for c in "èàçêœùîâ") / 4 + low.count("’") / 4
     best = sorted(score.items(), key=lambda x: -x[1])
-    if best[0][1] < 3 or len(words) < 5 or best[0][1] < 1.15 * best[1][1]:
+    enough = 3 if len(words) > 4 else max(2, len(words) - 1)  # of a few words nearly all must be function words
+    if best[0][1] < enough or best[0][1] < 1.15 * best[1][1]:
         return None
     return best[0][0]
 
@@ -194,57 +203,89 @@ def asked_language(question: str | None) -> str | None:
 
 
 def is_refusal(text: str) -> bool:
-    """The text declines to answer and gives nothing else: no answer line, no numbers, no longer argument."""
+    """The text declines to answer and gives nothing else, however long it is: no answer line, no numbers, and no
+    sentence besides that goes on to argue."""
     t = _TAG.sub("\n", visible(text)).replace("’", "'").lower().strip()
-    if not t or len(t) > 700 or re.search(r"\\boxed|=|\d", t):
+    if not t or re.search(r"\\boxed|=|\d", t):
         return False
     if any(re.search(r"\w", m.group("v")) for m in _ANSWER_LINE.finditer(t)):
         return False
-    parts = [s for s in re.split(r"(?<=[.!?。！？])\s*|\n+", t) if s.strip()]
-    hits = [i for i, s in enumerate(parts) if any(p.search(s) for p in REFUSALS)]
-    return bool(hits) and hits[0] <= 2 and len(parts) - hits[-1] <= 5
+    declines = False
+    for s in re.split(r"(?<=[.!?。！？])\s*|\n+", t):
+        if any(p.search(s) for p in REFUSALS):
+            declines = True
+        elif _GOES_ON.search(s):
+            return False
+    return declines
 
 
 def shortened(df: DataFrame, text: str) -> DataFrame:
-    """(__text): the different texts of at least LEAST_PREFIX characters that are a proper prefix of another.
+    """(__h, __n, goes_on): hash and length, both without closing blanks and dots of omission, of the different texts that
+    are a proper prefix of another; goes_on: the longer text goes on within a word, a sentence or a list item.
 
     Sorted by text, a text's extensions stand right behind it, so comparing neighbours is enough. The range
-    partitions' edges are compared with each other afterwards (two rows for each partition)."""
-    d = df.where(F.length(text) >= LEAST_PREFIX).select(F.col(text).alias("__text")).distinct()
-    s = d.repartitionByRange("__text").sortWithinPartitions("__text")
+    partitions' edges are compared with each other afterwards (two texts for each partition)."""
+    key = F.rtrim(F.col(text), F.lit(ENDING))
+    d = df.select(key.alias("__text")).where("__text <> ''").distinct()
+    d = d.repartitionByRange(F.left("__text", F.lit(RANGE_KEY))).sortWithinPartitions("__text").withColumns({"__h": F.xxhash64("__text"), "__n": F.length("__text")})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, first, before = TaskContext.get().partitionId(), None, None
-        types = [pa.string(), pa.string(), pa.int32()]
-        make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["__text", "kind", "part"])
+        part, first, before = TaskContext.get().partitionId(), None, None
+        types = [pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.int32()]
+        make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["__h", "__n", "goes_on", "edge", "part"])
         for b in batches:
             out = []
-            for t in b.column(0).to_pylist():
+            for t, h, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if before is None:
-                    first = t
-                elif t.startswith(before):
-                    out.append((before, "short", n))
-                before = t
+                    first = (t, h, n)
+                elif t.startswith(before[0]):
+                    out.append((before[1], before[2], goes_on(before[0], t), None, part))
+                before = (t, h, n)
             if out:
                 yield make(out)
         if first is not None:
-            yield make([(first, "first", n), (before, "last", n)])
-
-    # The driver sees 3 x points x partitions texts to set the ranges: at most about SAMPLED of them.
-    conf, key = df.sparkSession.conf, "spark.sql.execution.rangeExchange.sampleSizePerPartition"
-    before = conf.get(key)
-    conf.set(key, str(max(1, min(30, SAMPLED // (3 * int(conf.get("spark.sql.shuffle.partitions")))))))
-    try:
-        found = settle(s.mapInArrow(work, "__text string, kind string, part int"))
-    finally:
-        conf.set(key, before)
-    edges = found.where("kind <> 'short'").groupBy("part").agg(F.max(F.when(F.col("kind") == "first", F.col("__text"))).alias("f"), F.max(F.when(F.col("kind") == "last", F.col("__text"))).alias("l"))
-    nxt = edges.withColumn("n", F.lead("f").over(Window.orderBy("part")))  # a row for each partition
-    across = nxt.where(F.col("n").startswith(F.col("l"))).select(F.col("l").alias("__text"))
-    return found.where("kind = 'short'").select("__text").unionByName(across).distinct()
-
-
-def defects_of(question: str | None, prompt: str | None, response: str | None, gold: str | None, short: bool, p: float | None, threshold: float = cut.THRESHOLD) -> list[tuple[str, str]]:
+            yield make([(first[1], first[2], None, first[0], 2 * part), (before[1], before[2], None, before[0], 2 * part + 1)])
+
+    found = settle(d.mapInArrow(work, "__h bigint, __n int, goes_on boolean, edge string, part int"))
+    w = Window.orderBy("part")  # two rows for each partition
+    edges = found.where("edge is not null").withColumn("__next", F.lead("edge").over(w)).where("part % 2 = 1")
+    across = edges.where(F.col("__next").startswith(F.col("edge"))).select("__h", "__n", _goes_on("edge", "__next").alias("goes_on"))
+    return found.where("edge is null").select("__h", "__n", "goes_on").unionByName(across)
+
+
+def goes_on(text: str, longer: str) -> bool:
+    """Whether `longer`, which begins with `text`, is within a unit where `text` ends."""
+    return not cut._whole_here(longer, len(text))
+
+
+@F.pandas_udf(BooleanType())
+def _goes_on(text: pd.Series, longer: pd.Series) -> pd.Series:
+    return pd.Series([goes_on(a, b) for a, b in zip(text, longer, strict=True)], dtype="bool")
+
+
+def is_truncated(response: str | None, gold: str | None, p: float | None, at_limit: bool = False, goes_on: bool = False, threshold: float = cut.THRESHOLD) -> bool:
+    """A longer version goes on where the response ends, the response stands at a limit without a whole ending, or problem
+    4's probability p is at the threshold; but not if it ends with its whole expected answer. A lone phrase may
+    begin a longer text by chance, so there half the threshold is asked for as well."""
+    if not response or cut.ends_with_gold(response, gold):
+        return False
+    if goes_on:
+        core, _ = cut.core_of(response)
+        if not core or cut.kind_of(cut.lines_of(core)) != "only":
+            return True
+        threshold /= 2
+    return (at_limit and not has_whole_ending(response, gold)) or (p or 0.0) >= threshold
+
+
+def has_whole_ending(text: str, gold: str | None) -> bool:
+    """One of the usual whole ends, or a short sentence with its stop."""
+    if cut.looks_intact(text, gold):
+        return True
+    core, marked = cut.core_of(text)
+    return not marked and cut.kind_of(cut.lines_of(core)) in ("only", "bare") and core.rstrip(cut._CLOSERS)[-1:] in tuple(cut._STOPS)
+
+
+def defects_of(question: str | None, prompt: str | None, response: str | None, gold: str | None, truncated: bool) -> list[tuple[str, str]]:
     """The defects of one pair, at most one for each side, the first that holds of: empty, copy, refusal, truncated, language."""
     out = []
     if is_empty(response):
@@ -253,7 +294,7 @@ def defects_of(question: str | None, prompt: str | None, response: str | None, g
         out.append(("response", "copy"))
     elif is_refusal(response):
         out.append(("response", "refusal"))
-    elif _ends_cut(response, gold, p, threshold / 2 if short else threshold):
+    elif truncated:
         out.append(("response", "truncated"))
     else:
         want = asked_language(question)
@@ -268,26 +309,24 @@ def defects_of(question: str | None, prompt: str | None, response: str | None, g
 
 
 def is_cut(question: str | None, prompt: str | None, response: str | None, gold: str | None, p: float | None, threshold: float = cut.THRESHOLD) -> bool:
-    """Problem 4's decision: the regression's, but for the exact checks around it."""
-    if not _ends_cut(response, gold, p, threshold):
+    """Problem 4's decision: the regression's, but for the exact checks after it, which only take away."""
+    if (p or 0.0) < threshold or cut.ends_with_gold(response, gold):
         return False
     return not (is_empty(response) or is_copy(response, question, prompt) or is_refusal(response))
 
 
-def _ends_cut(response: str | None, gold: str | None, p: float | None, threshold: float) -> bool:
-    """The regression's word on the end of a response, but for what is certain."""
-    if response is None:
-        return False
-    if cut.is_open(response) or cut.in_number(response):
-        return True
-    return (p or 0) >= threshold and not cut.ends_with_gold(response, gold)
+def _scored(df: DataFrame, id_col: str, source: str, sample: int, sample_chars: int) -> tuple[DataFrame, np.ndarray]:
+    """df with at_limit, and problem 4's weights."""
+    d = df.select(id_col, F.col(source).alias("source"), "question", "prompt", "response", "gold_answer")
+    found = settle(cut.limits(d, "source", "response"))
+    d = cut.with_limit(d, "source", "response", found)
+    return d, cut.model_for(d, "source", "response", "gold_answer", found, sample, sample_chars)
 
 
-def cut_rows(df: DataFrame, id_col: str = "result_id", source: str = "source", sample: int = cut.SAMPLE) -> DataFrame:
+def cut_rows(df: DataFrame, id_col: str = "result_id", source: str = "source", sample: int = cut.SAMPLE, sample_chars: int = cut.SAMPLE_CHARS) -> DataFrame:
     """(id, source, p_cut, is_cut) for every row of df with a response; columns question, prompt, response and
     gold_answer are used. Null responses give no row. The source is as given; compare it as needed."""
-    d = cut.with_limit(df.select(id_col, F.col(source).alias("source"), "question", "prompt", "response", "gold_answer"), "source", "response")
-    w = cut.model_for(d, "response", "gold_answer", sample)
+    d, w = _scored(df, id_col, source, sample, sample_chars)
     return d.where("response is not null").mapInArrow(_cut_worker(w, id_col), f"`{id_col}` bigint, source string, p_cut double, is_cut boolean")
 
 
@@ -303,25 +342,25 @@ def _cut_worker(w: np.ndarray, id_col: str):
     return work
 
 
-def broken_pairs(df: DataFrame, id_col: str = "result_id", source: str = "source", sample: int = cut.SAMPLE) -> DataFrame:
+def broken_pairs(df: DataFrame, id_col: str = "result_id", source: str = "source", sample: int = cut.SAMPLE, sample_chars: int = cut.SAMPLE_CHARS) -> DataFrame:
     """(id, side, defect) for every defective side of every row.
 
     A null response or gold answer is empty. A null question allows no copy and no language defect, a null
-    prompt none by the prompt. Rows given twice come out twice. An empty table gives none."""
-    d = cut.with_limit(df.select(id_col, F.col(source).alias("source"), "question", "prompt", "response", "gold_answer"), "source", "response")
-    w = cut.model_for(d, "response", "gold_answer", sample)
-    # Texts are told apart by a 64-bit hash and their length; 12 bytes a row, broadcast up to SMALL_ROWS.
-    short = settle(shortened(d, "response").select(F.xxhash64("__text").alias("__h"), F.length("__text").alias("__n")))
-    few = F.broadcast(short) if short.count() <= cut.SMALL_ROWS else short
-    j = d.join(few, (F.xxhash64("response") == F.col("__h")) & (F.length("response") == F.col("__n")), "left").withColumn("short", F.col("__h").isNotNull()).drop("__h", "__n")
+    prompt none by the prompt. Rows given twice come out twice. An empty table gives none. With `sample` 0 problem
+    4's score finds nothing, and only longer versions and limits show what is truncated."""
+    d, w = _scored(df, id_col, source, sample, sample_chars)
+    # Texts are told apart by a 64-bit hash and their length.
+    short = settle(shortened(d, "response").where("goes_on").select("__h", "__n").distinct())
+    key = F.rtrim("response", F.lit(ENDING))
+    j = d.join(cut.small(short), (F.xxhash64(key) == F.col("__h")) & (F.length(key) == F.col("__n")), "left").withColumn("goes_on", F.col("__h").isNotNull()).drop("__h", "__n")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("question", "prompt", "response", "gold_answer", "at_limit", "short")
+        names = ("question", "prompt", "response", "gold_answer", "at_limit", "goes_on")
         for b in batches:
             ids, sides, kinds = [], [], []
             for i, (q, pr, t, g, a, s) in zip(b.column(id_col).to_pylist(), zip(*(b.column(n).to_pylist() for n in names), strict=True), strict=True):
                 p = cut.score(w, t, g, a) if t else None
-                for side, kind in defects_of(q, pr, t, g, s, p):
+                for side, kind in defects_of(q, pr, t, g, is_truncated(t, g, p, a, s)):
                     ids.append(i), sides.append(side), kinds.append(kind)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sides, pa.string()), pa.array(kinds, pa.string())], names=[id_col, "side", "defect"])
 

@@ -1,33 +1,32 @@
 """Problem 4: texts that were cut off.
 
 Method: values that look intact are cut artificially to make positives, and a hashed logistic regression on
-closing characters, closing words, punctuation, open brackets and tags, and length at the source's limit is
-trained on them. Every record is then scored. Two exact checks follow: a reasoning section that is never
-closed is cut, and a text that only repeats its question or says nothing isn't (problem 5 names those).
-
-The regression is fitted on the driver on at most `sample` texts (a documented bound; they are the texts with
-the least hashes, so the sample doesn't depend on partitioning). Lengths at which a source's responses pile
-up are counted over all rows.
+closing characters, closing words, punctuation, open brackets, tags and sections, and length at the source's limit
+is trained on them. Every record is then scored, and no record is cut whose probability is below the threshold.
+Exact checks may only take records away: a text that ends with its whole expected answer, repeats its question
+or says nothing isn't cut (problem 5 names the latter).
+
+Lengths at which a source's responses pile up are counted over all rows. The limit feature is learned from them:
+intact texts keep what their own length says, and artificial cuts are made at the source's limits as often as the
+unfinished texts of the sample stand at them. The regression is fitted on the driver on at most `sample` texts
+of at most `sample_chars` characters (documented bounds; they are the texts with the least hashes in a share of all,
+so the sample doesn't depend on partitioning).
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 from random import Random
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.session import settle
-
 SAMPLE = 6000
+SAMPLE_CHARS = 20_000
 DIMENSIONS = 1 << 16
 THRESHOLD = 0.4
-LEAST_LIMIT = 64
 SMALL_ROWS = 50_000
 
 # The words that open an answer line, in the languages of the data.
@@ -38,8 +37,8 @@ _BLANK = re.compile(r"[\s ​-‏⁠﻿]+$")
 _STOPS = ".!?。！？"
 _CLOSERS = "\"'”’»)]}*`」』）"
 _LIST = re.compile(r"^\s*(?:[-*•+]|\d{1,3}[.)]|[a-zA-Z][.)])(?:\s+|$)")
+_NUMBERED = re.compile(r"^\s*(\d{1,3})[.)]\s")
 _INLINE = re.compile(rf"(?<=[.!?。！？>`])\s+(?=\**(?:{LABELS})\**\s*[:：])", re.I)
-_CJK_DOT = re.compile(r"[㐀-鿿]{2}[^.\n]{0,12}\d\.$")
 _ARROW = re.compile(r"^\s*(?:=>|->|→|∴|⇒)\s*")
 _WORD = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[^\w\s]|_")
 _DIGITS = re.compile(r"\d+")
@@ -94,11 +93,12 @@ def ends_with_gold(text: str, gold: str | None) -> bool:
     return len(g) > 20 and core.lower().rstrip("".join((_STOPS, _CLOSERS))).endswith(g.rstrip("".join((_STOPS, _CLOSERS))))
 
 
-def in_number(text: str) -> bool:
-    """A Chinese sentence that ends in digits and a decimal point: its full stop would be another sign."""
-    core, _ = core_of(text)
-    last = lines_of(core)[-1] if core else ""
-    return bool(_CJK_DOT.search(last)) and not _LABEL.match(last)
+def script_of(line: str) -> str:
+    """The script of the last letter."""
+    for c in reversed(line):
+        if c.isalpha():
+            return "cjk" if "㐀" <= c <= "鿿" else "latin" if c < "ɐ" else "other"
+    return "none"
 
 
 def kind_of(lines: list[str]) -> str:
@@ -148,7 +148,11 @@ def features(text: str, gold: str | None, at_limit: bool) -> list[int]:
     for s in _STOPS:
         body = body.replace(s + " ", "\x00")
     tail = body.rsplit("\x00", 1)[-1]
+    script = script_of(last)
     f = [f"kind {kind}", f"end {ends}", f"ke {kind} {ends}", f"limit {at_limit}", f"lines {min(len(lines), 3)}"]
+    f.append(f"script {script} {'stop ' + c if c in _STOPS else ends}")
+    if plain.endswith("0."):
+        f.append(f"number dot {script} {kind}")
     f += [f"s{k} {plain[-k:]}" for k in (1, 2, 3, 4, 6)]
     f += [f"w{k} {kind if k == 1 else ''} {' '.join((['^'] + words)[-k:])}" for k in (1, 2, 3)]
     f += [f"w2 {' '.join((['^'] + words)[-2:])}", f"tail {min(len(tail.split()), 8)} {ends}"]
@@ -156,7 +160,7 @@ def features(text: str, gold: str | None, at_limit: bool) -> list[int]:
         f.append(f"line {kind} {plain}")
         f.append(f"shape {kind} {''.join('A' if w[0].isalpha() else w[0] for w in words)[:8]}")
     # What is left open in the last line or the whole text.
-    opened = []
+    opened = ["<think>"] if is_open(core) else []
     for a, b in (("{", "}"), ("(", ")"), ("[", "]"), ("（", "）"), ("“", "”"), ("«", "»")):
         if last.count(a) > last.count(b):
             opened.append(a)
@@ -180,6 +184,12 @@ def features(text: str, gold: str | None, at_limit: bool) -> list[int]:
         opened.append("half character")
     if re.match(r"^\s*(?:\d{1,3}[.)]?|[-*•])$", last) and len(lines) > 1 and any(_LIST.match(x) for x in lines[:-1]) and not (gold and last.strip() == gold.strip()):
         opened.append("empty item")
+        before = [int(m.group(1)) for x in lines[:-1] if (m := _NUMBERED.match(x))]
+        number = re.sub(r"\D", "", last)
+        if before and number and int(number) == before[-1] + 1:
+            opened.append("next item")
+    if opened[:1] == ["<think>"]:
+        f += [f"section {kind}", f"section {ends}", f"section {script}"]
     f += [f"open {x}" for x in opened] + [f"opens {min(len(opened), 2)} {kind}"]
     v = _value(last)
     f.append(f"value {kind} {'none' if not v else 'text' if v[0].isalpha() else 'number'} {min(len(v.split()), 5)}")
@@ -229,35 +239,53 @@ def _whole_here(text: str, p: int) -> bool:
     return left[-1] in "。！？" or (left[-1] in ".!?" and (right[0].isspace() or text[p - 1 : p].isspace()) and not re.search(r"(?:^|\n)\s*\d{1,3}\.$", left))
 
 
-def training_set(texts: list[tuple[str, str | None]], examples: int = 24_000, seed: int = 5) -> tuple[list[list[int]], list[int]]:
-    """Features and labels: intact texts, the same ended at a sentence or line, and the same cut elsewhere."""
+def training_set(texts: list[tuple[str, str | None, bool, int | None]], examples: int = 24_000, seed: int = 5) -> tuple[list[list[int]], list[int]]:
+    """Features and labels from (text, gold, at_limit, limit), where limit is the greatest of the source's limits below
+    the text's length, if any: intact texts, the same ended at a sentence or line, and the same cut elsewhere."""
     r = Random(seed)
-    seeds = [(core_of(t)[0], g) for t, g in texts if looks_intact(t, g)]
+    seeds = [(core_of(t)[0], g, a, n) for t, g, a, n in texts if looks_intact(t, g)]
     x: list[list[int]] = []
     y: list[int] = []
 
-    def add(text: str, gold: str | None, label: int) -> None:
-        x.append(features(text, gold, r.random() < (0.2 if label else 0.02)))
+    def add(text: str, gold: str | None, at_limit: bool, label: int) -> None:
+        x.append(features(text, gold, at_limit))
         y.append(label)
 
     if not seeds:
         return x, y
+    # How many of the unfinished texts stand at a limit, over the share of texts that can be cut at one.
+    unfinished = [a for t, g, a, _ in texts if not looks_intact(t, g)]
+    at = sum(unfinished) / max(1, len(unfinished)) / max(1e-9, sum(n is not None for *_, n in seeds) / len(seeds))
     rounds = max(1, min(8, examples // (4 * len(seeds))))
-    for text, gold in seeds:
+    for text, gold, at_limit, limit in seeds:
+        # Behind a decimal point: a cut that can be told only where full stops are other signs.
+        points = [m.end() for m in re.finditer(r"\d\.(?=\d)", text)]
+        points = [p for p in points if script_of(text[:p]) == "cjk"]
         for _ in range(rounds):
-            add(text, gold, 0)
+            add(text, gold, at_limit, 0)
             lines = lines_of(text)
             v = re.sub(r"^[\s*`]+|[\s*`]+$", "", _LABEL.sub("", lines[-1]))
             if kind_of(lines) == "label" and v and r.random() < 0.5:  # the same answer without its label
-                add("\n".join([*lines[:-1], v]) if r.random() < 0.5 else v, r.choice([gold, None, "?"]), 0)
-            for _ in range(2):
-                p = r.randrange(max(1, len(text) // 6), len(text)) if len(text) > 2 and r.random() < 0.8 else max(1, len(text) - r.randrange(1, 24))
-                if p >= 20 and not _whole_here(text, p) and not is_open(text[:p]):
-                    add(text[:p], gold, 1)
+                add("\n".join([*lines[:-1], v]) if r.random() < 0.5 else v, r.choice([gold, None, "?"]), False, 0)
             ends = [m.end(1) for m in re.finditer(r"([.!?。！？])(?:\s|$)", text[: len(text) - 1])]
-            ends = [p for p in ends if _whole_here(text, p) and not is_open(text[:p]) and text[:p].count("```") % 2 == 0]
+            ends = [p for p in ends if _whole_here(text, p) and text[:p].count("```") % 2 == 0]
+            inside = [p for p in ends if is_open(text[:p])]
+            if inside:  # whole sentences in a section that is never closed
+                add(text[: r.choice(inside)], gold, False, 1)
+            for _ in range(1 if inside else 2):
+                p = r.randrange(max(1, len(text) // 6), len(text)) if len(text) > 2 and r.random() < 0.8 else max(1, len(text) - r.randrange(1, 24))
+                here = limit is not None and limit < len(text) and r.random() < at
+                if here:
+                    p = limit
+                elif points and r.random() < 0.1:
+                    p = r.choice(points)  # inside a number
+                if text[p : p + 1].isdigit() and re.search(r"\d\.$", text[max(0, p - 2) : p]) and p not in points:
+                    continue
+                if p >= 20 and (is_open(text[:p]) or not _whole_here(text, p)):
+                    add(text[:p], gold, here, 1)
             if ends:
-                add(text[: r.choice(ends)], gold, 0)
+                p = r.choice(ends)
+                add(text[:p], gold, False, int(p in inside))
     return x, y
 
 
@@ -265,6 +293,7 @@ def fit(x: list[list[int]], y: list[int], epochs: int = 12, rate: float = 0.25,
     """Weights of the logistic regression (AdaGrad); weight 0 is the bias."""
     w = np.zeros(DIMENSIONS)
     if not x:
+        w[0] = -30.0  # nothing to learn from: nothing is cut
         return w
     width = max(map(len, x)) + 1
     idx = np.full((len(x), width), -1, dtype=np.int64)
@@ -293,40 +322,35 @@ def score(w: np.ndarray, text: str, gold: str | None, at_limit: bool) -> float:
 
 
 def limits(df: DataFrame, source: str, text: str) -> DataFrame:
-    """(__s, __len): lengths at which far more of a source's texts end than at the lengths around. Counted over
-    all rows; copies of one text count once, so a text that is repeated is no limit."""
-    d = df.where(F.col(text).isNotNull()).select(F.col(source).alias("__s"), F.length(text).alias("__len"), F.xxhash64(text).alias("__h")).where(F.col("__len") >= LEAST_LIMIT)
+    """(__s, __len): lengths at which far more of a source's texts end than at the ten lengths on both sides. Counted
+    over all rows; copies of one text count once, so a text that is repeated is no limit."""
+    d = df.where(F.length(text) > 0).select(F.col(source).alias("__s"), F.length(text).alias("__len"), F.xxhash64(text).alias("__h"))
     n = d.distinct().groupBy("__s", "__len").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy("__s").orderBy("__len").rangeBetween(-10, 10)
-    n = n.withColumn("__near", (F.sum("__n").over(w) - F.col("__n")) / 20.0)
+    n = n.withColumn("__near", (F.sum("__n").over(w) - F.col("__n")) / (F.least(F.col("__len") - 1, F.lit(10)) + 10))
     return n.where((F.col("__n") >= 6) & (F.col("__n") >= 5 * (F.col("__near") + 0.4))).select("__s", "__len")
 
 
-def with_limit(df: DataFrame, source: str, text: str) -> DataFrame:
-    """df with `at_limit`. The limits are broadcast if there are no more than SMALL_ROWS of them."""
-    found = settle(limits(df, source, text))
-    small = F.broadcast(found) if found.count() <= SMALL_ROWS else found
-    j = df.withColumn("__l", F.length(text)).join(small, F.col(source).eqNullSafe(F.col("__s")) & (F.col("__l") == F.col("__len")), "left")
-    return j.withColumn("at_limit", F.col("__len").isNotNull()).drop("__l", "__s", "__len")
-
+def small(found: DataFrame) -> DataFrame:
+    """A written table, broadcast if it has no more than SMALL_ROWS rows (of about 12 bytes)."""
+    return F.broadcast(found) if found.count() <= SMALL_ROWS else found
 
-def model_for(df: DataFrame, text: str, gold: str, sample: int = SAMPLE) -> np.ndarray:
-    """The weights fitted on at most `sample` different texts of df that are at no limit: those whose hash is in
-    the share that holds about `sample` of them. No task sends more than its part of the sample."""
-    d = df.where(~F.col("at_limit") & F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("t"), F.col(gold).alias("g"), F.xxhash64(text).alias("h"))
-    n = d.count()
-    share = 1.0 if n <= sample else sample / n
-    part = d.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = part.groupBy("h").agg(F.min(F.struct("t", "g")).alias("r")).limit(sample).collect()
-    return fit(*training_set(sorted(((r["r"]["t"], r["r"]["g"]) for r in rows), key=lambda x: (zlib.crc32(x[0].encode("utf-8", "replace")), x[0]))))
 
+def with_limit(df: DataFrame, source: str, text: str, found: DataFrame) -> DataFrame:
+    """df with `at_limit`: its length is one of the written limits `found`."""
+    j = df.withColumn("__l", F.length(text)).join(small(found), F.col(source).eqNullSafe(F.col("__s")) & (F.col("__l") == F.col("__len")), "left")
+    return j.withColumn("at_limit", F.col("__len").isNotNull()).drop("__l", "__s", "__len")
 
-def cut_probability(w: np.ndarray, text: Column, gold: Column, at_limit: Column) -> Column:
-    """The regression's probability that a text was cut; null for a null text."""
 
-    @F.pandas_udf("double")
-    def p(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for t, g, a in batches:
-            yield pd.Series([None if x is None else score(w, x, y, bool(z)) for x, y, z in zip(t, g, a, strict=True)], dtype="float64")
+def model_for(df: DataFrame, source: str, text: str, gold: str, found: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> np.ndarray:
+    """The weights fitted on at most `sample` different texts of df (with `at_limit`) of at most `sample_chars` characters:
+    the least hashes of the share that holds about `sample` of them. No task sends more than `sample` texts."""
+    d = df.where((F.length(text) > 0) & (F.length(text) <= sample_chars))
+    d = d.select(F.xxhash64(text).alias("h"), F.struct(F.col(text).alias("t"), F.col(gold).alias("g"), "at_limit", F.col(source).alias("s")).alias("r"))
+    n = d.select("h").distinct().count()
+    share = 1.0 if n <= sample else sample / n
+    part = d.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("h").agg(F.min("r").alias("r")).orderBy("h").limit(sample)
+    part = part.join(small(found), F.col("r.s").eqNullSafe(F.col("__s")) & (F.col("__len") < F.length("r.t")), "left").groupBy("h").agg(F.first("r").alias("r"), F.max("__len").alias("n"))
+    rows = sorted(part.collect(), key=lambda r: r["h"])
+    return fit(*training_set([(r["r"]["t"], r["r"]["g"], r["r"]["at_limit"], r["n"]) for r in rows]))
 
-    return p(text, gold, at_limit)
