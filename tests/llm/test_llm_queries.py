@@ -23,6 +23,11 @@ def test_query(name, spark, sf):
         assert df.count() >= 0
 
 
+def test_small_ranges_give_the_same_pieces(spark, sf):
+    a, b = QUERIES["p1_ranges"](spark, sf), QUERIES["p1_pieces"](spark, sf)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(a.columns).collect()))
+
+
 def test_cut_and_found_agree(spark, sf):
     """Every row of problem 4 has a probability at the threshold. Problem 5's truncated responses are these rows and those
     that limits or longer versions show."""

@@ -34,10 +34,10 @@ def line_rows(spark, texts, **how):
 
 
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.text(alphabet="ab\n", min_size=30, max_size=150), min_size=1, max_size=3))
+@given(st.lists(st.text(alphabet="aé界𝄞\n", min_size=30, max_size=150), min_size=1, max_size=3))
 def test_ranges_give_what_one_range_gives(spark, texts):
     a = line_rows(spark, texts, limit=6, overlap=1).collect()
-    b = line_rows(spark, texts, limit=6, overlap=1, range_chars=7, halo=2).collect()
+    b = line_rows(spark, texts, limit=6, overlap=1, range_bytes=7, halo=2).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
@@ -68,3 +68,43 @@ def test_empty_table_and_texts(spark):
     assert split.split_oversized(d.limit(0)).count() == 0
     t = split.with_texts(d, p).where("result_id = 0").orderBy("piece_index").collect()
     assert all(r["text"] == ("word " * 400)[r["char_start"] : r["char_end"]] for r in t)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 60), st.one_of(st.none(), st.integers(0, 9))), max_size=14), min_size=1, max_size=4))
+def test_given_boundaries_go_through_the_same_tables(spark, texts):
+    """Ranges of any size give the same pieces of texts with actions, unordered, repeated and of equal place."""
+    rows = []
+    for i, acts in enumerate(texts):
+        first = {}
+        acts = [first.setdefault(k, (k, "", at, at, list(range(k)), None, None, n)) for k, at, n in acts]
+        rows += [(i, "é" * 70, acts, [(k, 2 * k, 2 * k + 2) for k in range(9)])] * (1 + i % 2)
+    d = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(map(tuple, split.split_oversized(d, limit=9, overlap=2).collect()))
+    for size in (16, 50):
+        assert sorted(map(tuple, split.split_oversized(d, limit=9, overlap=2, range_bytes=size).collect())) == want
+
+
+def test_long_text_in_a_column(spark):
+    """20 MB in one row; the slices are made in linear time."""
+    d = spark.range(1).selectExpr("1L AS result_id", "repeat('a line of é and 界\n\nanother, somewhat longer, line of the text\n', 330000) AS response", "cast(null AS array<struct<action_index:int,char_start:int,token_indices:array<int>,token_count:int>>) AS actions", "cast(null AS array<struct<token_index:int,char_start:int>>) AS tokens")
+    a, b = (split.split_oversized(d, range_bytes=n).selectExpr("count(*) AS n", "max(n_pieces) AS m", "sum(n_tokens) AS t", "max(char_end) AS e", "bit_xor(xxhash64(piece_index, char_start, char_end, hard_cut)) AS h").collect()[0] for n in (1 << 20, 300_001))
+    assert a == b and a["n"] == a["m"] > 10_000 and a["e"] == 330_000 * len("a line of é and 界\n\nanother, somewhat longer, line of the text\n")
+
+
+def test_files_by_offset(spark, tmp_path):
+    """A 200 MB file, at two range sizes; never read as a whole."""
+    lines = "".join(f"line {i} of é, 界 and 𝄞{'x' * (i * i % 97)}\n" for i in range(20_000))
+    times = 200_000_000 // len(lines.encode()) + 1
+    big, small = tmp_path / "big.txt", tmp_path / "small.txt"
+    with open(big, "w", encoding="utf-8") as f:
+        for _ in range(times):
+            f.write(lines)
+    small.write_text(lines, encoding="utf-8")
+    (tmp_path / "empty.txt").write_text("")
+    d = spark.createDataFrame([(str(big),), (str(small),), (str(tmp_path / "empty.txt"),), (None,)], "path string")
+    sums = ("count(*) AS n", "max(n_pieces) AS m", "max(char_end) AS e", "max(n_tokens) AS t", "bit_xor(xxhash64(piece_index, char_start, char_end, hard_cut)) AS h")
+    a, b = (split.split_files(d.where(f"path = '{big}'"), range_bytes=n).selectExpr(*sums).collect()[0] for n in (1 << 22, 9_999_991))
+    assert a == b and a["n"] == a["m"] and a["e"] == times * len(lines) and a["t"] <= split.LIMIT
+    got = split.split_files(d.where(f"path <> '{big}'"), range_bytes=77_777).drop("path").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, line_rows(spark, [lines]).drop("result_id").collect()))

@@ -22,8 +22,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_pieces(spark, folder).where("piece_index = 0").select("result_id", "need")
 
 
-P1_SQL = """
-WITH a AS (
+def p1_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """The same pieces in tokens, with ranges so small that most texts have several."""
+    p = split.split_oversized(table(spark, folder, "results").where("error is null"), range_bytes=1024, halo=16)
+    return p.select("result_id", "need", "piece_index", "n_pieces", "token_start", "token_end", "n_tokens", "hard_cut")
+
+
+_P1_SQL = """
+WITH RECURSIVE a AS (
  SELECT result_id, response, list_distinct(list_transform(actions, lambda x: {'i': x.action_index, 'n': coalesce(x.token_count, len(x.token_indices), 0)})) AS s
  FROM results WHERE error IS NULL AND response IS NOT NULL),
 b AS (
@@ -31,7 +37,29 @@ b AS (
   CASE WHEN len(s) > 0 THEN list_max(list_transform(s, lambda x: x.n))
    ELSE list_max(list_transform(string_split(response, chr(10)), lambda x, i: ceil((length(x) + CASE WHEN i < len(string_split(response, chr(10))) THEN 1 ELSE 0 END) / 4.0))) END AS longest
  FROM a)
-SELECT result_id, CASE WHEN longest > 288 THEN 'hard_cut' ELSE 'split' END AS need FROM b WHERE total > 320"""
+"""
+P1_SQL = _P1_SQL + "SELECT result_id, CASE WHEN longest > 288 THEN 'hard_cut' ELSE 'split' END AS need FROM b WHERE total > 320"
+# A unit is a token, or a character of a text without actions.
+P1_RANGES_SQL = (
+    _P1_SQL
+    + """,
+c AS (
+ SELECT r.result_id, CASE WHEN longest > 288 THEN 'hard_cut' ELSE 'split' END AS need, CASE WHEN len(s) > 0 THEN 1 ELSE 4 END AS u,
+  CASE WHEN len(s) > 0 THEN total ELSE length(r.response) END AS total,
+  CASE WHEN len(s) > 0 THEN list_transform(list_sort(list_distinct(list_transform(actions, lambda x: {'at': coalesce(x.char_start, 0), 'i': x.action_index, 'n': coalesce(x.token_count, len(x.token_indices), 0)}))), lambda x: x.n)
+   ELSE list_transform(string_split(r.response, chr(10)), lambda x, i: length(x) + CASE WHEN i < len(string_split(r.response, chr(10))) THEN 1 ELSE 0 END) END AS sizes
+ FROM b JOIN a USING (result_id) JOIN results r USING (result_id) WHERE b.total > 320),
+d AS (SELECT result_id, need, u, total, list_transform(sizes, lambda x, i: list_sum(sizes[1:i])) AS ends FROM c),
+p AS (
+ SELECT result_id, 0 AS piece_index, CAST(0 AS BIGINT) AS f, CAST(CASE WHEN total <= 320 * u THEN total ELSE coalesce(list_max(list_filter(ends, lambda x: x > 32 * u AND x <= 320 * u)), 320 * u) END AS BIGINT) AS t FROM d
+ UNION ALL
+ SELECT p.result_id, p.piece_index + 1, p.t - 32 * u,
+  CAST(CASE WHEN total - (p.t - 32 * u) <= 320 * u THEN total ELSE coalesce(list_max(list_filter(ends, lambda x: x > p.t AND x <= p.t + 288 * u)), p.t + 288 * u) END AS BIGINT)
+ FROM p JOIN d USING (result_id) WHERE p.t < total)
+SELECT result_id, need, piece_index, CAST(count(*) OVER (PARTITION BY result_id) AS INT) AS n_pieces, CAST(f // u AS INT) AS token_start,
+ CAST(f // u + ceil((t - f) / u) AS INT) AS token_end, CAST(ceil((t - f) / u) AS INT) AS n_tokens, t < total AND NOT list_contains(ends, t) AS hard_cut
+FROM p JOIN d USING (result_id)"""
+)
 
 # ---- Problem 3
 
@@ -48,18 +76,24 @@ def _values(spark: SparkSession, folder: str) -> DataFrame:
     return t.unionByName(a).where(F.col("value") >= 0)
 
 
-def _day_digits(spark: SparkSession, folder: str) -> DataFrame:
-    return radix.digit_table(_values(spark, folder), ["source", "run_day", "metric"], "value")
-
-
 def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Per source, from the days' digit tables added up; error_bound is stated in each row."""
-    t = settle(radix.combine(_day_digits(spark, folder), ["source", "metric"]))
+    """Per source; error_bound is stated in each row. Counted by source at once: day tables added up give the same rows."""
+    t = settle(radix.digit_table(_values(spark, folder), ["source", "metric"], "value"))
     return radix.percentiles(t, ["source", "metric"])
 
 
+def _day_digits(spark: SparkSession, folder: str) -> DataFrame:
+    return settle(radix.digit_table(_values(spark, folder), ["source", "run_day", "metric"], "value"))
+
+
 def p3_daily(spark: SparkSession, folder: str) -> DataFrame:
-    return radix.percentiles(settle(_day_digits(spark, folder)), ["source", "run_day", "metric"])
+    return radix.percentiles(_day_digits(spark, folder), ["source", "run_day", "metric"])
+
+
+def p3_weekly(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source and week, from the written tables of the days alone."""
+    t = _day_digits(spark, folder).withColumn("week", F.trunc("run_day", "week"))
+    return radix.percentiles(settle(radix.combine(t, ["source", "week", "metric"])), ["source", "week", "metric"])
 
 
 def p3_exact(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,7 +106,7 @@ _VALUES_SQL = """
 WITH v AS (
  SELECT nullif(lower(trim(source)), '') AS source, run_day, 'token_entropy' AS metric, unnest(list_transform(tokens, lambda x: x.entropy)) AS value FROM results
  UNION ALL SELECT nullif(lower(trim(source)), ''), run_day, 'action_entropy_topr_mean', unnest(list_distinct(list_transform(actions, lambda x: {'i': x.action_index, 'v': coalesce(x.entropy_topr_mean, -1)}))).v FROM results),
-w AS (SELECT * FROM v WHERE value >= 0 AND NOT isnan(value) AND NOT isinf(value))"""
+w AS (SELECT *, CAST(date_trunc('week', run_day) AS DATE) AS week FROM v WHERE value >= 0 AND NOT isnan(value) AND NOT isinf(value))"""
 P3_EXACT_SQL = (
     _VALUES_SQL
     + """
@@ -178,8 +212,8 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_pieces": p1_pieces,
-    "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p3_exact": p3_exact,
+    "p1_found": p1_found, "p1_pieces": p1_pieces, "p1_ranges": p1_ranges,
+    "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p3_weekly": p3_weekly, "p3_exact": p3_exact,
     "p4_found": p4_found, "p4_scores": p4_scores, "p4_sources": p4_sources,
     "p5_found": p5_found,
     "p6_found": p6_found, "p6_sequences": p6_sequences, "p6_fill": p6_fill,
@@ -187,4 +221,7 @@ QUERIES = {
     "p8_found": p8_found, "p8_scores": p8_scores,
 }
 
-ORACLE = {"p1_found": P1_SQL, "p3_exact": P3_EXACT_SQL, "p3_percentiles": _digit_sql("source, metric"), "p3_daily": _digit_sql("source, run_day, metric")}
+ORACLE = {
+    "p1_found": P1_SQL, "p1_ranges": P1_RANGES_SQL, "p3_exact": P3_EXACT_SQL, "p3_percentiles": _digit_sql("source, metric"),
+    "p3_daily": _digit_sql("source, run_day, metric"), "p3_weekly": _digit_sql("source, week, metric"),
+}
