@@ -23,6 +23,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,10 +55,12 @@ _CJK_RUN = re.compile(r"[㐀-鿿]+")
 _LINK = re.compile(r"<a\s[^<>]*>[^<]*</a>|\[[^\[\]\n]*\]\([^()\s]*\)|(?:https?://|www\.)[^\s<>\"]+|(?<![\w@.-])[\w-]+(?:\.[\w-]+)+/[^\s<>\"]*|#\w+", re.I)
 _TAG = re.compile(r"</?[a-z][^<>\n]*>", re.I)
 _BREAK = re.compile(r"<br\s*/?>|</?(?:p|li|div|tr|ul|ol|h\d)\b[^<>]*>", re.I)
-_STOP = re.compile(r"[.!?](?=\s|$)|[。！？]")
-_SEP = re.compile(r"[|»›>,;#/·•]|::|\*\s")
+# Signs that end sentences and signs that part the items of lists.
+_STOPS = (". ", "! ", "? ", ".\n", "!\n", "?\n", "。", "！", "？")
+_SEPARATORS = ("|", "»", "›", ">", ",", ";", "#", "/", "·", "•", "::", "* ", "*\n")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
-_CODE = re.compile(r"^\s*(?:import|from|def|return|while|var|let|const|function|SELECT)\s|\bclass\s+\w+\s*[:({]|\bfor\s+\w+\s+in\s+[\w.]+(?:\(|:)|\bprint\(|[{}]\s*$|\w+\(.*\)|\s=\s|\+=|\w\[\w*\]")
+_CODE = re.compile(r"^\s*(?:import|from|def|return|while|var|let|const|function)\s|\bselect\b.*\bfrom\b|\bclass\s+\w+\s*[:({]|\bfor\s+\w+\s+in\s+[\w.]+(?:\(|:)|\bprint\(|[{}]\s*$|\w+\(.*\)|\s=\s|\+=|\w\[\w*\]")
+_FIELDS = re.compile(r"\||»|›|::| > | / | · ")
 LONG = 240
 
 
@@ -76,37 +79,39 @@ def language_key(lang: str | None, words: Counter, cjk: int, n: int) -> str:
 
 
 def _has_links(text: str) -> bool:
-    return "/" in text or "#" in text or "www." in text or "WWW." in text
+    return "/" in text or "#" in text or "www." in text.lower()
 
 
 def features(text: str, lang: str | None) -> tuple[str, list[float]] | None:
     """Language key and the FEATURES; None for texts without a word."""
     plain = _plain(text)
     low = plain.lower()
-    list_of = _WORD.findall(low)
-    n = len(list_of)
+    parts = [(p, _WORD.findall(p)) for p in _parts(low)]
+    n = sum(len(w) for _, w in parts)
     if not n:
         return None
     cjk = len(_CJK.findall(low)) if _CJK.search(low) else 0
     size = max(n, cjk // 2)
-    words = Counter(list_of)
+    words = Counter(chain.from_iterable(w for _, w in parts))
     strong = sum(words[w] for w in _ANY & words.keys())
     if cjk:
         strong += sum(c in _ZH for run in _CJK_RUN.findall(low) for c in run)
     total = n + cjk - (sum(words[w] for w in words if _CJK.match(w)) if cjk else 0)
-    repeats = sum(c for w, c in words.items() if c >= 3 and len(w) > 2 and w not in _ANY)
-    entropy = -sum(c / n * math.log2(c / n) for c in words.values())
+    hot = {w for w, c in words.items() if c >= 3}
+    repeats = sum(words[w] for w in hot - _ANY if len(w) > 2)
+    entropy = -sum(k * c / n * math.log2(c / n) for c, k in Counter(words.values()).items())
     links = sum(m.end() - m.start() for m in _LINK.finditer(text)) if _has_links(text) else 0
+    stops = sum(map(low.count, _STOPS)) + low.endswith((".", "!", "?"))
     f = [
-        strong / max(1, total), len(_STOP.findall(low)) / size, repeats / n, entropy / math.log2(max(n, 2)),
-        links / len(text), len(_SEP.findall(low)) / size, listing(plain, words),
+        strong / max(1, total), stops / size, repeats / n, entropy / math.log2(max(n, 2)),
+        links / len(text), sum(map(low.count, _SEPARATORS)) / size, listing(parts, words, hot),
     ]
     return language_key(lang, words, cjk, n), f
 
 
 def _parts(text: str) -> Iterator[str]:
     """Lines; long ones by sentence; what is still long in runs of a dozen words."""
-    for line in _BREAK.sub("\n", text).split("\n"):
+    for line in (_BREAK.sub("\n", text) if "<" in text else text).split("\n"):
         line = line.strip()
         if len(line) <= LONG:
             if line:
@@ -122,8 +127,9 @@ def _parts(text: str) -> Iterator[str]:
                     yield " ".join(w[i : i + 12])
 
 
-def spam_part(part: str, words: Counter) -> bool | None:
-    """True: keywords, links, menu, product or tag list. False: a sentence. None: neither."""
+def spam_part(part: str, w: list[str], words: Counter, hot: set[str]) -> bool | None:
+    """True: keywords, links, menu, product or tag list. False: a sentence. None: neither. `part` is in lower case and has
+    the words `w`; `words` are the counts of the whole text, `hot` its words that stand there three times."""
     linked, rest = 0, part
     if _has_links(part):
         found = [m.span() for m in _LINK.finditer(part)]
@@ -132,44 +138,39 @@ def spam_part(part: str, words: Counter) -> bool | None:
             rest = rest[:a] + " " + rest[b:]
     if "<" in rest:
         rest = _TAG.sub(" ", rest)
-    w = _WORD.findall(rest.lower())
-    strong = sum(x in _ANY for x in w)
-    cjk = len(_CJK.findall(rest))
+    if rest is not part:
+        w = _WORD.findall(rest)
+    strong = sum(map(_ANY.__contains__, w))
     if linked * 2.5 >= len(part):
         return None if strong >= 2 and strong * 4 >= len(w) else True
     if not w:
         return None
-    if cjk:
-        runs = _CJK_RUN.findall(rest)
-        f = sum(c in _ZH for r in runs for c in r)
-        if f * 14 >= cjk and max(map(len, runs)) > 6:
+    if not rest.isascii() and (runs := _CJK_RUN.findall(rest)):
+        cjk, longest = sum(map(len, runs)), max(map(len, runs))
+        if sum(map(_ZH.__contains__, "".join(runs))) * 14 >= cjk and longest > 6:
             return False
-        if max(map(len, runs)) <= 8:
+        if longest <= 8:
             return True if sum(words[r] for r in runs) >= 3 * len(runs) else None
         return False
-    if strong * 12 >= len(w) and strong:
+    if strong and strong * 12 >= len(w):
         return False
     numbers = sum(x.isdigit() or len(x) == 1 for x in w)
-    if numbers * 2 > len(w) or (_CODE.search(rest) and not re.search(r"\bSKU\b", rest)):
+    if numbers * 2 > len(w) or (_CODE.search(rest) and not re.search(r"\bsku\b", rest)):
         return None
     long = [x for x in w if len(x) > 2 and not x.isdigit()]
     if not long:
         return None
-    hot = sum(words[x] >= 3 for x in long)
-    if hot * 2 >= len(long):
-        return True
-    fields = len(re.findall(r"\||»|›|::| > | / | · ", rest))
-    if fields >= 2:
+    if sum(map(hot.__contains__, long)) * 2 >= len(long):
         return True
-    return None
+    return True if len(_FIELDS.findall(rest)) >= 2 else None
 
 
-def listing(text: str, words: Counter) -> float:
+def listing(parts: list[tuple[str, list[str]]], words: Counter, hot: set[str]) -> float:
     """Share of a text's characters that stand in spam parts."""
     spam = total = 0
-    for p in _parts(text):
+    for p, w in parts:
         total += len(p)
-        if spam_part(p, words):
+        if spam_part(p, w, words, hot):
             spam += len(p)
     return spam / total if total else 0.0
 
