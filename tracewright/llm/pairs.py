@@ -12,9 +12,11 @@ one text can't make one partition large.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -95,9 +97,15 @@ _LEAD = re.compile(r"^\W*(?:question|problem statement|problem|task|exercise|q|p
 _ANSWER_LINE = re.compile(rf"(?:^|\n)[\W_]*(?:{cut.LABELS})\**\s*[:：]\**[ \t]*(?P<v>[^\n]*)", re.I)
 
 
+@lru_cache(maxsize=1)
+def _hidden() -> dict[int, None]:
+    """Characters that can't be seen: the categories Cf and Cc but for line breaks and tabs."""
+    return {i: None for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) in ("Cf", "Cc") and chr(i) not in "\n\t"}
+
+
 def visible(text: str | None) -> str:
     """The text without blanks at its ends and without characters that can't be seen."""
-    return "".join(c for c in text or "" if unicodedata.category(c) not in ("Cf", "Cc") or c in "\n\t").strip()
+    return (text or "").translate(_hidden()).strip()
 
 
 def is_empty(text: str | None) -> bool:
@@ -116,10 +124,10 @@ def is_empty(text: str | None) -> bool:
 
 
 def _tokens(text: str) -> list[str]:
-    out: list[str] = []
-    for m in _PARTS.findall(text.lower()):
-        out += list(m) if _CJK.search(m) else [m.replace(",", "") if m[0].isdigit() else m]
-    return out
+    found = _PARTS.findall(text.lower())
+    if _CJK.search(text):
+        found = [x for m in found for x in (m if _CJK.search(m) else (m,))]
+    return [m.replace(",", "") if m[0].isdigit() else m for m in found]
 
 
 def is_copy(text: str, question: str | None, prompt: str | None) -> bool:
@@ -179,15 +187,18 @@ def language(text: str | None) -> str | None:
     t = _QUOTED.sub(" ", text or "")
     t = re.sub(r"\\[A-Za-z]+(?:\{[^{}]*\})?|</?\w+>|\$[^$]*\$|https?://\S+", " ", t)
     zh = len(_CJK.findall(t))
-    words = [w.lower().replace("’", "'") for w in _WORDS.findall(t) if not _CJK.search(w)]
+    low = t.lower().replace("’", "'")
+    words = _WORDS.findall(low)
+    if zh:
+        words = [w for w in words if not _CJK.search(w)]
     latin = sum(map(len, words))
     if zh >= 6 and zh * 3 >= latin:
         return "zh"
-    score = {k: sum(w in v or w.split("'")[0] in v for w in words) for k, v in FUNCTION_WORDS.items()}
-    low = t.lower()
+    counts = Counter(words)
+    score = {k: sum(n for w, n in counts.items() if w in v or ("'" in w and w.split("'")[0] in v)) for k, v in FUNCTION_WORDS.items()}
     score["de"] += sum(low.count(c) for c in "ßäöü") / 4
     score["es"] += sum(low.count(c) for c in "ñ¿¡óíáú") / 4
-    score["fr"] += sum(low.count(c) for c in "èàçêœùîâ") / 4 + low.count("’") / 4
+    score["fr"] += sum(low.count(c) for c in "èàçêœùîâ") / 4 + t.count("’") / 4
     best = sorted(score.items(), key=lambda x: -x[1])
     enough = 3 if len(words) > 4 else max(2, len(words) - 1)  # of a few words nearly all must be function words
     if best[0][1] < enough or best[0][1] < 1.15 * best[1][1]:
@@ -210,6 +221,8 @@ def is_refusal(text: str) -> bool:
         return False
     if any(re.search(r"\w", m.group("v")) for m in _ANSWER_LINE.finditer(t)):
         return False
+    if not any(p.search(t) for p in REFUSALS):
+        return False
     declines = False
     for s in re.split(r"(?<=[.!?。！？])\s*|\n+", t):
         if any(p.search(s) for p in REFUSALS):
