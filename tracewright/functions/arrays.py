@@ -8,6 +8,31 @@ from pyspark.sql import functions as F
 from tracewright.functions.stats import let
 
 
+#: Elements that are folded into one piece of a scan's result.
+CHUNK = 256
+
+
+def scan(a: Column, zero: Column, kind: str, step) -> Column:
+    """The values (of SQL type `kind`) that a fold gives on its way: step(state, element) is (new state, value). Null for
+    null. Results are gathered in chunks, since adding an element copies what it is added to: the work is in
+    proportion to the array's length."""
+    empty, none = F.expr(f"cast(array() as array<{kind}>)"), F.expr(f"cast(array() as array<array<{kind}>>)")
+
+    def one(s: Column, x: Column) -> Column:
+        state, value = step(s["acc"], x)
+        return F.struct(state.alias("acc"), F.concat(s["out"], F.array(value)).alias("out"))
+
+    def chunk(s: Column, c: Column) -> Column:
+        part = F.aggregate(c, F.struct(s["acc"].alias("acc"), empty.alias("out")), one)
+        return let(part, lambda r: F.struct(r["acc"].alias("acc"), F.concat(s["out"], F.array(r["out"])).alias("out")))
+
+    def run(v: Column) -> Column:
+        cuts = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / CHUNK).cast("int")), lambda i: F.slice(v, i * CHUNK + 1, F.lit(CHUNK)))
+        return F.when(v.isNotNull(), F.flatten(F.aggregate(cuts, F.struct(zero.alias("acc"), none.alias("out")), chunk, lambda s: s["out"])))
+
+    return let(a, run)
+
+
 def pad_right(a: Column, n: Column | int, fill: Column) -> Column:
     """Exactly n elements: cut, or filled on the right."""
     n = n if isinstance(n, Column) else F.lit(n)
@@ -58,26 +83,28 @@ def eos_mask(ids: Column, eos: tuple[int, ...]) -> Column:
 
 def position_ids(mask: Column) -> Column:
     """max(running sum of the mask - 1, 0)."""
-    seed = F.struct(F.lit(0).alias("n"), F.expr("cast(array() as array<int>)").alias("out"))
 
-    def step(s: Column, m: Column) -> Column:
-        n = s["n"] + F.coalesce(m.cast("int"), F.lit(0))
-        return F.struct(n.alias("n"), F.concat(s["out"], F.array(F.greatest(n - 1, F.lit(0)))).alias("out"))
+    def step(n: Column, m: Column) -> tuple[Column, Column]:
+        n = n + F.coalesce(m.cast("int"), F.lit(0))
+        return n, F.greatest(n - 1, F.lit(0))
 
-    return F.aggregate(mask, seed, step, lambda s: s["out"])
+    return scan(mask, F.lit(0), "int", step)
+
+
+def prefix_offsets(lengths: Column) -> Column:
+    """Where each of the pieces of these lengths begins; null lengths count as 0."""
+    return scan(lengths, F.lit(0), "int", lambda at, n: (at + F.coalesce(n, F.lit(0)), at))
 
 
 def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
     """G = r + gamma * G from the end; what is carried on is set to 0 where the mask is 0, after the return of
     that place is noted."""
-    z = F.transform(F.arrays_zip(rewards.alias("r"), mask.alias("m")), lambda x: F.struct(x["r"].alias("r"), x["m"].alias("m")))
-    seed = F.struct(F.lit(0.0).alias("acc"), F.expr("cast(array() as array<double>)").alias("out"))
 
-    def one(s: Column, x: Column) -> Column:
-        g = x["r"] + s["acc"] * gamma
-        return F.struct((g * x["m"]).alias("acc"), F.concat(s["out"], F.array(g)).alias("out"))
+    def step(acc: Column, x: Column) -> tuple[Column, Column]:
+        g = x["r"] + acc * gamma
+        return g * x["m"], g
 
-    return F.reverse(F.aggregate(F.reverse(z), seed, one, lambda s: s["out"]))
+    return F.reverse(scan(F.reverse(F.arrays_zip(rewards.alias("r"), mask.alias("m"))), F.lit(0.0), "double", step))
 
 
 def gae(rewards: Column, state_values: Column, gamma: float, lam: float) -> Column:
@@ -85,13 +112,12 @@ def gae(rewards: Column, state_values: Column, gamma: float, lam: float) -> Colu
     after = F.concat(F.slice(state_values, F.lit(2), F.greatest(F.size(state_values) - 1, F.lit(0))), F.array(F.lit(0.0)))
     nxt = F.slice(after, F.lit(1), F.size(state_values))
     z = F.transform(F.arrays_zip(rewards.alias("r"), state_values.alias("v"), nxt.alias("n")), lambda x: x["r"] + x["n"] * gamma - x["v"])
-    seed = F.struct(F.lit(0.0).alias("acc"), F.expr("cast(array() as array<double>)").alias("out"))
 
-    def one(s: Column, d: Column) -> Column:
-        a = d + s["acc"] * (gamma * lam)
-        return F.struct(a.alias("acc"), F.concat(s["out"], F.array(a)).alias("out"))
+    def step(acc: Column, d: Column) -> tuple[Column, Column]:
+        g = d + acc * (gamma * lam)
+        return g, g
 
-    return F.reverse(F.aggregate(F.reverse(z), seed, one, lambda s: s["out"]))
+    return F.reverse(scan(F.reverse(z), F.lit(0.0), "double", step))
 
 
 def last_valid_reward(score: Column, n: Column) -> Column:

@@ -166,6 +166,7 @@ def extract_answer(text: Column) -> Column:
     return F.coalesce(tag, strip(last_boxed(text)), _last_line(rest), _last_line(text), F.lit(""))
 
 
+# Fixed value: what stands in for a missing reasoning section.
 FILLER = "I solve the problem using the provided facts and reasoning constraints."
 
 

@@ -93,6 +93,21 @@ def masked_whiten(df: DataFrame, value: str, mask: str, out: str = "whitened", s
     return df.withColumn(out, w if shift else w + mean)
 
 
+def whiten_arrays(df: DataFrame, value: str, mask: str, out: str | None = None) -> DataFrame:
+    """df with array column `value` (or `out`) whitened by the masked mean and variance over all rows' elements, times
+    the mask. Each row gives three sums, which are added up before the shuffle; null arrays count for nothing and
+    stay null. Fewer than two masked-in values end the query."""
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    v, m = F.col(value), F.col(mask)
+    one = df.agg(F.sum(add(F.zip_with(v, m, lambda x, k: x * k))).alias("s"), F.sum(add(F.transform(m, lambda k: k.cast("double")))).alias("n"))
+    d = df.withColumns({"__m": one.select((F.col("s") / (F.col("n") + 1e-8)).alias("m")).scalar(), "__n": one.select("n").scalar()})
+    square = d.agg(F.sum(add(F.zip_with(v, m, lambda x, k: (x - F.col("__m")) * (x - F.col("__m")) * k))).alias("q"), F.max("__n").alias("n"))
+    bad = F.raise_error("masked variance needs at least two values").cast("double")
+    var = square.select(F.when(F.col("n") > 1, F.col("q") / (F.col("n") + 1e-8) * F.col("n") / (F.col("n") - 1)).otherwise(bad).alias("v")).scalar()
+    d = d.withColumn("__d", F.sqrt(var + 1e-8))
+    return d.withColumn(out or value, F.zip_with(v, m, lambda x, k: (x - F.col("__m")) / F.col("__d") * k)).drop("__m", "__n", "__d")
+
+
 def group_scores(judged: DataFrame, scores: DataFrame, uid: str, resp: str) -> DataFrame:
     """(uid, resp, advantage, used_rule): criterion advantages for groups that have judgements, z-scores of the rule's
     score for the others.

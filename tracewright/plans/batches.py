@@ -61,10 +61,11 @@ def pad_to_divisor(spark, folder):
 
 
 def chunk_rows(spark, folder):
+    """All rows, padded to a number that 10 chunks share equally."""
     n = _c(spark, folder).count()
-    d = batches.unpad(batches.pad_to_divisor(_numbered(spark, folder), "ordinal", n, 8), "ordinal", n // 10 * 10)
-    d = batches.splits(batches.chunks(d, "ordinal", n // 10 * 10, 10), "ordinal", 64)
-    return d.select("c_custkey", "chunk", "split")
+    d = batches.pad_to_divisor(_numbered(spark, folder), "ordinal", n, 10)
+    d = batches.splits(batches.chunks(d, "ordinal", n + -n % 10, 10), "ordinal", 64)
+    return d.select("c_custkey", "is_pad", "chunk", "split")
 
 
 def sampler_batches(spark, folder):
@@ -126,7 +127,7 @@ ORACLE = {
     "repeat_tile": f"WITH {_O} SELECT c_custkey, CAST(k AS INTEGER) AS copy, k * n + o AS position FROM o, range(3) t(k)",
     "rollout_rows": "WITH s AS (SELECT DISTINCT sample_id FROM samples) SELECT sample_id, CAST(k AS INTEGER) AS copy, k < 4 AS is_onpolicy FROM s, range(5) t(k) WHERE k < 4 OR length(sample_id) % 2 = 0",
     "pad_to_divisor": f"WITH {_O} SELECT c_custkey, o AS ordinal, false AS is_pad FROM o UNION ALL SELECT c_custkey, n + o, true FROM o WHERE o < (64 - n % 64) % 64",
-    "chunk_rows": f"WITH {_O} SELECT c_custkey, CAST(o // (n // 10) AS INTEGER) AS chunk, CAST(o // 64 AS INTEGER) AS split FROM o WHERE o < n // 10 * 10",
+    "chunk_rows": f"WITH {_O}, p AS (SELECT c_custkey, o, n, false AS is_pad FROM o UNION ALL SELECT c_custkey, n + o, n, true FROM o WHERE o < (10 - n % 10) % 10) SELECT c_custkey, is_pad, CAST(o // ((n + (10 - n % 10) % 10) // 10) AS INTEGER) AS chunk, CAST(o // 64 AS INTEGER) AS split FROM p",
     "sampler_batches": "WITH o AS (SELECT c_custkey, row_number() OVER (ORDER BY sha256('epoch-1' || chr(31) || c_custkey), c_custkey) - 1 AS o, count(*) OVER () AS n FROM customer) SELECT CAST(o // 128 AS INTEGER) AS batch, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM o WHERE o < n // 128 * 128 GROUP BY 1",
     "batch_union": "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer",
     "train_val_split": "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY sha256(CAST(doc_id AS VARCHAR))) <= least(100, count(*) OVER () - 1) THEN 'val' ELSE 'train' END AS split FROM documents",

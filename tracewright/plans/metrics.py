@@ -78,7 +78,7 @@ def run_stats(spark, folder):
 
 QUERIES = {f.__name__: f for f in (batch_metrics, explained_variance, timing_per_token, batch_kl, flops_estimate, device_peaks, metric_lines, latest_checkpoint, checkpoint_retention, validation_samples, review_report, run_stats)}
 
-_P = "p AS (SELECT c_custkey AS step, '/run/global_step_' || c_custkey AS path, round(c_acctbal, 2) AS score FROM customer WHERE c_custkey % 10 = 0 AND c_custkey % 7 <> 0)"
+_P = "p AS (SELECT c_custkey AS step, '/run/global_step_' || c_custkey AS path, round(c_acctbal, 2) AS score FROM customer WHERE c_custkey % 7 <> 0)"
 ORACLE = {
     "batch_metrics": """SELECT round(avg(l_quantity), 6) AS reward_mean, round(max(l_quantity), 6) AS reward_max, round(min(l_quantity), 6) AS reward_min, round(avg(l_discount), 6) AS value_mean, round(max(l_discount), 6) AS value_max, round(min(l_discount), 6) AS value_min,
  round(avg(l_linenumber), 6) AS length_mean, CAST(max(l_linenumber) AS DOUBLE) AS length_max, CAST(min(l_linenumber) AS DOUBLE) AS length_min, round(avg(CAST(l_linenumber >= 7 AS DOUBLE)), 6) AS clip_ratio FROM lineitem""",

@@ -45,9 +45,7 @@ def cu_seqlens(spark, folder):
 def prefix_offsets(spark, folder):
     """Character offsets of tokens from their texts' lengths."""
     d = table(spark, folder, "results").where("tokens is not null").select("result_id", F.transform("tokens", lambda t: F.length(t["text"])).alias("n"))
-    seed = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
-    offs = F.aggregate("n", seed, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
-    return d.select("result_id", _joined(offs).alias("starts"))
+    return d.select("result_id", _joined(arrays.prefix_offsets(F.col("n"))).alias("starts"))
 
 
 def _series(spark, folder):

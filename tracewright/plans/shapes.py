@@ -54,10 +54,11 @@ def reorder_rows(spark, folder):
 
 
 def minibatch_epochs(spark, folder):
+    """All rows, padded to whole batches of 50."""
+    n = table(spark, folder, "customer").count()
     d = batches.with_ordinal(table(spark, folder, "customer").select("c_custkey"), [F.col("c_custkey")])
-    n = table(spark, folder, "customer").count() // 50 * 50
-    d = batches.minibatches(batches.rows(d, "ordinal", 0, n), "ordinal", n, 50, 2)
-    return d.groupBy("epoch", "batch").agg(F.sum("c_custkey").alias("keys"))
+    d = batches.minibatches(batches.pad_to_divisor(d, "ordinal", n, 50), "ordinal", n + -n % 50, 50, 2)
+    return d.groupBy("epoch", "batch").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"))
 
 
 def length_info(spark, folder):
@@ -122,18 +123,19 @@ ORACLE = {
     "teacher_filter": f"""WITH l AS ({text_plans.ORACLE["label_extract"]})
 SELECT sample_id, count(*) AS kept FROM results r JOIN l ON r.result_id = l.result_id WHERE NOT coalesce(upper(trim(gold_answer)) IN ('YES', 'NO'), false) OR label = upper(trim(gold_answer)) GROUP BY 1""",
     "onpolicy_groups": "WITH g AS (SELECT l_orderkey, min(l_partkey) AS f, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1) SELECT l_orderkey, n, row_number() OVER (ORDER BY f, l_orderkey) - 1 AS place FROM g",
-    "left_pad_collate": """WITH d AS (SELECT result_id, generated_token_ids[:40] AS ids FROM results WHERE generated_token_ids IS NOT NULL), m AS (SELECT *, max(len(ids)) OVER () - len(ids) AS gap FROM d)
+    "left_pad_collate": """WITH d AS (SELECT result_id, generated_token_ids AS ids, (row_number() OVER (ORDER BY result_id) - 1) // 256 AS batch FROM results WHERE generated_token_ids IS NOT NULL), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) - len(ids) AS gap FROM d)
 SELECT result_id, array_to_string(list_concat(list_resize(CAST([] AS INTEGER[]), gap, 0), ids), ',') AS input_ids, array_to_string(list_concat(list_resize(CAST([] AS INTEGER[]), gap, 0), list_resize(CAST([] AS INTEGER[]), len(ids), 1)), ',') AS mask,
  array_to_string(list_concat(list_resize(CAST([] AS BIGINT[]), gap, 0), range(len(ids))), ',') AS position_ids FROM m""",
     "row_slice": f"WITH {_N} SELECT c_custkey FROM n WHERE o >= 100 AND o < 150",
     "reorder_rows": f"WITH {_N} SELECT a.o AS ordinal, b.c_custkey FROM n a JOIN n b ON (a.o * 7 + 3) % a.n = b.o",
-    "minibatch_epochs": f"WITH {_N} SELECT CAST(e AS INTEGER) AS epoch, CAST(o // 50 AS INTEGER) AS batch, CAST(sum(c_custkey) AS BIGINT) AS keys FROM n, range(2) t(e) WHERE o < n // 50 * 50 GROUP BY 1, 2",
+    "minibatch_epochs": f"WITH {_N}, p AS (SELECT c_custkey, o FROM n UNION ALL SELECT c_custkey, n + o FROM n WHERE o < (50 - n % 50) % 50) SELECT CAST(e AS INTEGER) AS epoch, CAST(o // 50 AS INTEGER) AS batch, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM p, range(2) t(e) GROUP BY 1, 2",
     "length_info": "SELECT result_id, CAST(coalesce(length(prompt), 0) AS INTEGER) AS prompt_length, CAST(coalesce(list_sum(list_transform(tokens, lambda t: CAST(t.char_end > t.char_start AS INTEGER))), 0) AS INTEGER) AS response_length FROM results",
     "metric_reduce": "SELECT 'events_' || event_type AS metric, round(avg(value), 6) AS mean, count(value) AS n FROM events GROUP BY 1",
-    "attribution_spans": """WITH q AS (SELECT result_id, tokens, candidate_blocks[1].text AS q, response FROM results WHERE tokens IS NOT NULL AND response IS NOT NULL),
-p AS (SELECT result_id, tokens, CASE WHEN coalesce(q, '') = '' THEN -1 ELSE strpos(response, q) - 1 END AS p, length(q) AS n FROM q),
-h AS (SELECT result_id, p, n, list_filter(list_transform(tokens, lambda t, i: CASE WHEN t.char_end > p AND t.char_start < p + n THEN i - 1 END), lambda x: x IS NOT NULL) AS h FROM p)
-SELECT result_id, CAST(p AS INTEGER) AS char_start, CAST(CASE WHEN p >= 0 THEN p + n ELSE -1 END AS INTEGER) AS char_end, CAST(CASE WHEN p >= 0 THEN coalesce(list_min(h), -1) ELSE -1 END AS INTEGER) AS token_start, CAST(CASE WHEN p >= 0 THEN coalesce(list_max(h) + 1, -1) ELSE -1 END AS INTEGER) AS token_end FROM h""",
+    "attribution_spans": """WITH r AS (SELECT result_id, tokens, response, candidate_blocks AS cb, unnest(CASE WHEN len(candidate_blocks) > 0 THEN range(len(candidate_blocks)) ELSE [NULL] END) AS block FROM results WHERE tokens IS NOT NULL AND response IS NOT NULL),
+q AS (SELECT *, CASE WHEN block IS NOT NULL THEN cb[block + 1].text END AS q FROM r),
+p AS (SELECT result_id, block, tokens, CASE WHEN coalesce(q, '') = '' THEN -1 ELSE strpos(response, q) - 1 END AS p, length(q) AS n FROM q),
+h AS (SELECT result_id, block, p, n, list_filter(list_transform(tokens, lambda t, i: CASE WHEN t.char_end > p AND t.char_start < p + n THEN i - 1 END), lambda x: x IS NOT NULL) AS h FROM p)
+SELECT result_id, CAST(block AS INTEGER) AS block, CAST(p AS INTEGER) AS char_start, CAST(CASE WHEN p >= 0 THEN p + n ELSE -1 END AS INTEGER) AS char_end, CAST(CASE WHEN p >= 0 THEN coalesce(list_min(h), -1) ELSE -1 END AS INTEGER) AS token_start, CAST(CASE WHEN p >= 0 THEN coalesce(list_max(h) + 1, -1) ELSE -1 END AS INTEGER) AS token_end FROM h""",
     "score_groups": rubric_plans.ORACLE["criterion_advantages"].replace("SELECT z.verdict_id, answer_index,", ", adv AS (SELECT z.verdict_id, answer_index,") + """),
 sc AS (SELECT verdict_id, CAST(i AS INTEGER) AS answer_index, CAST((verdict_id * 7 + i * 3) % 5 AS DOUBLE) AS score FROM verdicts, range(1, 7) t(i)), fs AS (SELECT verdict_id, avg(score) AS m, stddev_samp(score) AS d FROM sc GROUP BY 1)
 SELECT sc.verdict_id, sc.answer_index, coalesce(adv.advantage, round(CASE WHEN fs.d > 1e-6 THEN (score - fs.m) / (fs.d + 1e-6) ELSE 0 END, 6)) AS advantage, adv.advantage IS NULL AS used_rule
@@ -141,10 +143,16 @@ FROM sc JOIN fs ON sc.verdict_id = fs.verdict_id LEFT JOIN adv ON sc.verdict_id
     "advantage_dispatch": """WITH r AS (SELECT result_id, sample_id AS uid, CAST(len(tokens) AS DOUBLE) AS score, result_id % 5 <> 0 AS on_p, tokens FROM results WHERE len(tokens) > 0),
 g AS (SELECT uid, count(*) AS n, avg(score) AS m, stddev_samp(score) AS d FROM r WHERE on_p GROUP BY 1),
 a AS (SELECT r.result_id, tokens, CASE WHEN NOT on_p THEN 1.0 WHEN n <= 1 THEN score / (1 + 1e-6) ELSE (score - m) / (d + 1e-6) END AS a FROM r LEFT JOIN g ON r.uid = g.uid),
-t AS (SELECT result_id, a, unnest(range(len(tokens))) AS pos, CAST(unnest(tokens).token_index < 100 AS INTEGER) AS m, CAST(unnest(tokens).token_id % 3 AS DOUBLE) AS r FROM a),
-s AS (SELECT *, sum(r * m) OVER (PARTITION BY result_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - 2.0 * m AS b FROM t)
+t AS (SELECT result_id, a, unnest(range(len(tokens))) AS pos, CAST(unnest(tokens).token_index < 100 AS INTEGER) AS m, CAST(unnest(tokens).token_id % 3 AS DOUBLE) AS r, CAST(unnest(tokens).token_index AS DOUBLE) AS v FROM a),
+s AS (SELECT *, sum(r * m) OVER f - 2.0 * m AS b, r + coalesce(lead(v) OVER (PARTITION BY result_id ORDER BY pos), 0) - v AS d, sum(1 - m) OVER (PARTITION BY result_id ORDER BY pos) AS z FROM t WINDOW f AS (PARTITION BY result_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+e AS (SELECT x.result_id, x.pos, any_value(x.m) AS m, sum(pow(0.95::DOUBLE, y.pos - x.pos) * y.d) AS g FROM s x JOIN s y ON x.result_id = y.result_id AND y.pos >= x.pos GROUP BY 1, 2),
+h AS (SELECT result_id, pos, m, sum(r) OVER (PARTITION BY result_id, z ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS g FROM s),
+k AS (SELECT 'gae' AS estimator, * FROM e UNION ALL SELECT 'reinforce_plus_plus', * FROM h),
+w AS (SELECT estimator, sum(g * m) / (sum(m) + 1e-8) AS mean, sum(m) AS n FROM k GROUP BY 1),
+v AS (SELECT k.estimator, any_value(mean) AS mean, sum((g - mean) * (g - mean) * m) / (any_value(n) + 1e-8) * any_value(n) / (any_value(n) - 1) AS var FROM k JOIN w ON k.estimator = w.estimator GROUP BY 1)
 SELECT result_id, 'grpo' AS estimator, round(any_value(a * m) FILTER (pos = 0), 6) AS first, round(sum(a * m), 4) AS total FROM s GROUP BY 1
-UNION ALL SELECT result_id, 'remax', round(any_value(b) FILTER (pos = 0), 6), round(sum(b), 4) FROM s GROUP BY 1""",
+UNION ALL SELECT result_id, 'remax', round(any_value(b) FILTER (pos = 0), 6), round(sum(b), 4) FROM s GROUP BY 1
+UNION ALL SELECT result_id, k.estimator, round(any_value((g - mean) / sqrt(var + 1e-8) * m) FILTER (pos = 0), 6), round(sum((g - mean) / sqrt(var + 1e-8) * m), 4) FROM k JOIN v ON k.estimator = v.estimator GROUP BY 1, 2""",
     "base_urls": "SELECT n_nationkey, 'https://' || lower(n_name) || '/v1' AS url FROM nation",
     "image_lists": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name || ',' || p_brand WHEN p_partkey % 2 = 0 THEN p_type END AS images FROM part",
 }

@@ -51,7 +51,7 @@ QUERIES = {f.__name__: f for f in (samples_loaded, samples_drawn, event_windows,
 _STRIP = "regexp_replace({x}, '^[\\s\\p{{Z}}\\x{{85}}]+|[\\s\\p{{Z}}\\x{{85}}]+$', '', 'g')"
 _W = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 ORACLE = {
-    "samples_loaded": f"""WITH d AS (SELECT doc_id, source, left(text, 80) AS q, discipline, row_number() OVER (ORDER BY doc_id) - 1 AS o FROM documents)
+    "samples_loaded": f"""WITH d AS (SELECT doc_id, source, text AS q, discipline, row_number() OVER (ORDER BY doc_id) - 1 AS o FROM documents)
 SELECT CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) ELSE 'sample-' || lpad(CAST(o AS VARCHAR), 6, '0') END AS sample_id, coalesce(nullif({_STRIP.format(x="source")}, ''), 'documents') AS source,
  {_STRIP.format(x="q")} AS question, coalesce({_STRIP.format(x="discipline")}, '') AS answer FROM d WHERE coalesce({_STRIP.format(x="q")}, '') <> ''""",
     "samples_drawn": "SELECT sample_id FROM (SELECT DISTINCT sample_id FROM samples) ORDER BY sha256('7' || chr(31) || sample_id) LIMIT 50",
