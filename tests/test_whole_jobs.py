@@ -1,5 +1,4 @@
-"""The whole input reaches the operators: nothing is cut or filtered away before the job.
-"""
+"""The whole input reaches the operators: nothing is cut or filtered away before the job."""
 
 import statistics
 
@@ -9,6 +8,7 @@ from tests.oracle import compare, connect
 from tracewright.operators import batches
 from tracewright.plans import metrics, shapes, tables
 
+
 def test_samples_loaded_keeps_whole_questions(spark, sf):
     assert "left(" not in tables.ORACLE["samples_loaded"]
     compare(tables.samples_loaded(spark, sf), connect(sf), tables.ORACLE["samples_loaded"])

@@ -1,8 +1,8 @@
 """Reasoning steps of a response: micro-actions, their uncertainty, top candidates and blocks around peaks.
 
 Cutting a text into micro-actions needs look-behind patterns and order-dependent merging over a whole text; an
-array fold in the JVM would copy its accumulator for every piece. It runs in Arrow batches next to the scan.
-What follows (tokens of a span, top-r means, robust z, peaks, blocks) is done on the row's arrays in the JVM.
+array fold in the JVM would copy its accumulator for every piece. It runs in Arrow batches next to the scan, where the
+tokens of each step are found by bisection too. What follows (top-r means, robust z, peaks, blocks) is done on the row's arrays in the JVM.
 """
 
 from __future__ import annotations
@@ -10,13 +10,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.functions import stats
-from tracewright.functions.arrays import char_overlap
 
 # Where a text may be cut. A match's end is a cut, also that of an empty match.
 CUTS = (
@@ -95,40 +95,67 @@ def split_actions(text: Column, min_chars: int = 12, max_chars: int = 260, answe
     return cut(text)
 
 
-def cap_tokens(text: Column, spans: Column, tokens: Column, most: int) -> Column:
-    """Spans of more than `most` tokens cut into runs of `most`, clipped to the span; most <= 0 cuts nothing."""
-    if most <= 0:
-        return spans
+def overlapping(starts: np.ndarray, ends: np.ndarray, a: int, b: int, ordered: bool) -> np.ndarray:
+    """Ordinals of the tokens that overlap [a, b) and aren't empty. `ordered`: neither starts nor ends ever fall, so the
+    tokens in question are a run that bisection finds."""
+    if ordered:
+        i, j = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left"))
+        run = np.arange(i, max(i, j))
+        return run[ends[run] > starts[run]]
+    return np.flatnonzero((ends > a) & (starts < b) & (ends > starts))
+
+
+def covered_actions(text: str, starts: list[int | None], ends: list[int | None], min_chars: int, max_chars: int, most: int) -> list[tuple[int, int, str, list[int]]]:
+    """The steps of a text with the ordinals of their tokens. A step of more than `most` tokens is cut into runs of
+    `most`, clipped to the step; most <= 0 cuts nothing. A token without place is in no step."""
+    s = np.array([-1 if a is None or b is None else a for a, b in zip(starts, ends, strict=True)], dtype=np.int64)
+    e = np.array([-1 if a is None or b is None else b for a, b in zip(starts, ends, strict=True)], dtype=np.int64)
+    ordered = bool((s[1:] >= s[:-1]).all() and (e[1:] >= e[:-1]).all())
+    out = []
+    for a, b, shown_text in micro_actions(text, min_chars, max_chars):
+        hit = overlapping(s, e, a, b, ordered)
+        if most <= 0 or len(hit) <= most:
+            out.append((a, b, shown_text, hit.tolist()))
+            continue
+        for k in range(0, len(hit), most):
+            x, y = max(a, int(s[hit[k]])), min(b, int(e[hit[min(k + most, len(hit)) - 1]]))
+            if t := shown(text[x:y]):
+                out.append((x, y, t, overlapping(s, e, x, y, ordered).tolist()))
+    return out
+
+
+COVERED = T.ArrayType(T.StructType([*SPAN.elementType.fields, T.StructField("token_indices", T.ArrayType(T.IntegerType()))]))
 
-    def runs(s: Column, hit: Column) -> Column:
-        def one(k: Column) -> Column:
-            a = F.greatest(s["char_start"], F.get(tokens, F.get(hit, k))["char_start"])
-            b = F.least(s["char_end"], F.get(tokens, F.get(hit, F.least(k + most, F.size(hit)) - 1))["char_end"])
-            raw = F.regexp_replace(F.substr(text, a + 1, F.greatest(b - a, F.lit(0))), r"(?U)^\s+|\s+$", "")
-            t = F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(raw, f"[{_TRAILING}]+$", ""), r"(?U)^\s+|\s+$", ""), F.lit("")), raw)
-            return F.struct(a.alias("char_start"), b.alias("char_end"), t.alias("text"))
 
-        cut = F.filter(F.transform(F.sequence(F.lit(0), F.size(hit) - 1, F.lit(most)), one), lambda x: x["text"] != "")
-        return F.when(F.size(hit) > most, cut).otherwise(F.array(s))
+def split_covered(text: Column, tokens: Column, min_chars: int = 12, max_chars: int = 260, max_tokens: int = 24) -> Column:
+    """array<struct<char_start, char_end, text, token_indices>>: the steps of a text with their tokens' ordinals, in time
+    linear in both but for a bisection a step. Null for null text or tokens."""
 
-    return F.flatten(F.transform(spans, lambda s: stats.let(char_overlap(tokens, s["char_start"], s["char_end"]), lambda hit: runs(s, hit))))
+    @F.pandas_udf(COVERED)
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        names = [f.name for f in COVERED.elementType.fields]
+        for texts, starts, ends in batches:
+            yield pd.Series([None if t is None or a is None or b is None else [dict(zip(names, x, strict=True)) for x in covered_actions(t, a, b, min_chars, max_chars, max_tokens)] for t, a, b in zip(texts, starts, ends, strict=True)], dtype=object)
+
+    return cut(text, tokens["char_start"], tokens["char_end"])
 
 
 def score_spans(spans: Column, tokens: Column, signal: str = "entropy") -> Column:
     """array<struct<action_index, text, char_start, char_end, token_indices, token_start, token_end, token_count,
-    topr_mean>>: each span with the ordinals of the tokens it overlaps and the top-r mean of their signal."""
+    topr_mean>>: each span, which has its tokens' ordinals, with the top-r mean of their signal."""
 
-    def one(s: Column, i: Column) -> Column:
-        return stats.let(
-            char_overlap(tokens, s["char_start"], s["char_end"]),
-            lambda hit: F.struct(
+    def all_(values: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            hit = s["token_indices"]
+            return F.struct(
                 i.alias("action_index"), s["text"].alias("text"), s["char_start"].alias("char_start"), s["char_end"].alias("char_end"), hit.alias("token_indices"),
                 F.array_min(hit).alias("token_start"), F.array_max(hit).alias("token_end"), F.size(hit).alias("token_count"),
-                stats.top_r_mean(F.transform(hit, lambda k: F.get(tokens, k)[signal].cast("double"))).alias("topr_mean"),
-            ),
-        )
+                stats.top_r_mean(F.transform(hit, lambda k: F.get(values, k).cast("double"))).alias("topr_mean"),
+            )
+
+        return F.transform(spans, one)
 
-    return F.transform(spans, one)
+    return stats.let(tokens[signal], all_)
 
 
 def with_z(actions: Column, signal: str = "topr_mean", min_denom: float = 0.05) -> Column:
@@ -187,8 +214,7 @@ def candidates(df: DataFrame, text: str, tokens: str, *, signal: str = "entropy"
     """df with actions (scored, with z), top_actions and candidate_blocks made anew from text and tokens. Each
     step is kept as a column of its own stage, so that no later expression repeats it. Null text or tokens
     give null; a blank text gives empty arrays."""
-    d = df.withColumn("__spans", split_actions(F.col(text), min_chars, max_chars))
-    d = d.withColumn("__spans", cap_tokens(F.col(text), F.col("__spans"), F.col(tokens), max_tokens))
+    d = df.withColumn("__spans", split_covered(F.col(text), F.col(tokens), min_chars, max_chars, max_tokens))
     d = d.withColumn("__scored", score_spans(F.col("__spans"), F.col(tokens), signal))
     d = d.withColumn("actions", with_z(F.col("__scored"), "topr_mean", min_denom)).drop("__spans", "__scored")
     return d.withColumns({"top_actions": top_actions(F.col("actions"), top), "candidate_blocks": peak_blocks(F.col("actions"), top, blocks, min_z)})
