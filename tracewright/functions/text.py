@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracewright.functions.stats import let
+
 BLANK = r"(?U)^\s+|\s+$"
 
 
@@ -84,6 +86,24 @@ def boxed_score(text: Column, truth: Column) -> Column:
     return F.when(b.isNull(), F.lit(0.0)).when(F.lower(strip(b)) == F.lower(strip(truth)), F.lit(1.0)).otherwise(F.lit(0.1))
 
 
+# The forms a task may be put into; {} stands for the stripped content. The \\n are written as two characters.
+FORMS = {
+    "answer_line": r'Solve the following math problem step by step. The last line of your response should be of the form Answer: $Answer (without quotes) where $Answer is the answer to the problem.\n\n{}\n\nRemember to put your answer on its own line after "Answer:".',
+    "conversation": r"A conversation between User and Assistant. The user asks a question, and the Assistant solves it. The assistant first thinks about the reasoning process in the mind and then provides the user with the answer. The reasoning process and answer are enclosed within <think> </think> and <answer> </answer> tags, respectively, i.e., <think> reasoning process here </think><answer> answer here </answer>\n\nUser:{} \n\nAssistant:",
+    "boxed": r"{} You FIRST think about the reasoning process as an internal monologue and then provide the final answer. The reasoning process MUST BE enclosed within <think> </think> tags. The final answer MUST BE put in \boxed{}.",
+    "plain": "{}",
+    "tagged": "{} A conversation between User and Assistant. The user asks a question, and the Assistant solves it. The assistant first thinks about the reasoning process in the mind and then provides the user with the answer. The reasoning process and answer are enclosed within <think> </think> and <answer> </answer> tags, respectively, i.e., <think> reasoning process here </think><answer> answer here </answer>",
+}
+
+
+def prompt_form(content: Column, form: str) -> Column:
+    """The stripped content within one of the FORMS; null counts as empty."""
+    if form not in FORMS:
+        raise ValueError(f"unknown form {form}; known are {', '.join(FORMS)}")
+    before, _, after = FORMS[form].partition("{}")
+    return F.concat(F.lit(before), clean(content), F.lit(after))
+
+
 # Literal replacements, in this order, before answers are compared.
 SUBSTITUTIONS = (("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), ("\\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}"))
 # Expressions dropped from answers, in this order.
@@ -107,8 +127,9 @@ def normalize_answer(c: Column) -> Column:
     for p, r in UNWRAP:
         t = F.regexp_replace(t, p, r)
     t = F.replace(t, F.lit("$"), F.lit(""))
-    digits = F.replace(t, F.lit(","), F.lit(""))
-    return strip(F.when(digits.rlike(r"^\d+$"), digits).otherwise(t))
+    # let: the long chain of replacements is written, and run, once.
+    digits = lambda t: F.replace(t, F.lit(","), F.lit(""))
+    return let(t, lambda t: strip(F.when(digits(t).rlike(r"^\d+$"), digits(t)).otherwise(t)))
 
 
 def last_answer(text: Column, tail: int = 300) -> Column:
@@ -133,9 +154,15 @@ def combined_score(text: Column, truth: Column, length: Column, longest: int, bu
 
 def same_answer(a: Column, b: Column) -> Column:
     """Equality of answers by this engine's own rule: normalized text, else equal numbers."""
-    x, y = normalize_answer(a), normalize_answer(b)
     num = lambda c: F.try_to_number(F.replace(c, F.lit(","), F.lit("")), F.lit("S999999999999.999999")).cast("double")
-    return F.coalesce((F.lower(x) == F.lower(y)) | (num(x) == num(y)), F.lit(False))
+    both = F.struct(normalize_answer(a).alias("x"), normalize_answer(b).alias("y"))
+    return let(both, lambda p: F.coalesce((F.lower(p["x"]) == F.lower(p["y"])) | (num(p["x"]) == num(p["y"])), F.lit(False)))
+
+
+def boxed_math_score(text: Column, truth: Column) -> Column:
+    """1 for a boxed answer that equals the truth as same_answer has it, 0.1 for another, 0 for none or a null text."""
+    b = last_boxed(text)
+    return F.when(b.isNull(), F.lit(0.0)).when(same_answer(b, truth), F.lit(1.0)).otherwise(F.lit(0.1))
 
 
 def math_score(text: Column, truth: Column, format_weight: float = 0.1) -> Column:
@@ -219,6 +246,31 @@ def chat(*turns: tuple[str, Column]) -> Column:
     return F.array(*(F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in turns))
 
 
+def filled(*cs: Column) -> Column:
+    """The first that isn't null or blank, stripped; else null."""
+    return F.coalesce(*(F.nullif(strip(c.cast("string")), F.lit("")) for c in cs))
+
+
+def number_or_null(c: Column) -> Column:
+    """A number in a text; null for null, blank or no number."""
+    return strip(c.cast("string")).try_cast("double")
+
+
+def pretty_rubric(criteria: Column, fields: tuple[str, ...] = ("criterion_id", "category", "criterion", "points")) -> Column:
+    """A rubric's criteria as indented JSON, as it stands in a prompt: two blanks a level, no escapes but JSON's own. An
+    empty list is [], null stays null."""
+
+    def value(x: Column, f: str) -> Column:
+        # to_json of a struct gives {"v":...}; null fields are left out of it.
+        v = F.to_json(F.struct(x[f].alias("v")))
+        return F.when(x[f].isNull(), F.lit("null")).otherwise(F.substr(v, F.lit(6), F.length(v) - 6))
+
+    def one(x: Column) -> Column:
+        return F.concat(F.lit("  {\n"), F.concat_ws(",\n", *(F.concat(F.lit(f'    "{f}": '), value(x, f)) for f in fields)), F.lit("\n  }"))
+
+    return F.when(F.size(criteria) > 0, F.concat(F.lit("[\n"), F.array_join(F.transform(criteria, one), ",\n"), F.lit("\n]"))).when(criteria.isNotNull(), F.lit("[]"))
+
+
 def metric_key(c: Column) -> Column:
     return F.regexp_replace(c, "[^a-zA-Z0-9_.-]+", "_")
 

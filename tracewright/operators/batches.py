@@ -7,7 +7,7 @@ it end. Equal keys stay together, so orders should be unique; ties are numbered
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.session import settle
@@ -92,6 +92,57 @@ def union_info(a: dict, b: dict) -> dict:
     return a | b
 
 
+def concat(batches: list[tuple[DataFrame, dict]]) -> tuple[DataFrame, dict]:
+    """The rows of several batches one after the other (`part` tells which) and the first one's metadata. Batches must have the
+    same columns; no batch is an error."""
+    if not batches:
+        raise ValueError("nothing to concatenate")
+    first, info = batches[0]
+    for d, _ in batches[1:]:
+        if set(d.columns) != set(first.columns):
+            raise ValueError(f"batches differ in columns: {sorted(set(d.columns) ^ set(first.columns))}")
+    out = None
+    for i, (d, _) in enumerate(batches):
+        p = d.withColumn("part", F.lit(i))
+        out = p if out is None else out.unionByName(p)
+    return out, dict(info)
+
+
+def from_columns(spark: SparkSession, numeric: dict[str, list], other: dict[str, list], info: dict | None = None, schema: str | None = None) -> tuple[DataFrame, dict]:
+    """A batch of columns of equal length, with its ordinal; a name in both groups or unequal lengths are an error. For small
+    batches that a driver has in hand."""
+    if both := numeric.keys() & other.keys():
+        raise ValueError(f"columns given twice: {sorted(both)}")
+    cols = numeric | other
+    sizes = {k: len(v) for k, v in cols.items()}
+    if len(set(sizes.values())) > 1:
+        raise ValueError(f"columns differ in length: {sizes}")
+    rows = [(i, *r) for i, r in enumerate(zip(*cols.values(), strict=True))]
+    return spark.createDataFrame(rows, f"ordinal int, {schema}" if schema else ["ordinal", *cols]), dict(info or {})
+
+
+# Bytes of a value by type.
+WIDTHS = {"tinyint": 1, "boolean": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "bigint": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8}
+
+
+def byte_size(df: DataFrame) -> DataFrame:
+    """(column, bytes): values times width; texts by their UTF-8 bytes, arrays by their elements. Nulls count 0, columns of
+    other types aren't listed."""
+    sizes = {}
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in WIDTHS:
+            sizes[name] = F.when(c.isNotNull(), F.lit(WIDTHS[kind]))
+        elif kind in ("string", "binary"):
+            sizes[name] = F.octet_length(c)
+        elif kind.startswith("array<") and kind[6:-1] in WIDTHS:
+            sizes[name] = F.when(c.isNotNull(), F.size(c) * WIDTHS[kind[6:-1]])
+    if not sizes:
+        raise ValueError("no column of a type with a size")
+    one = df.agg(*(F.coalesce(F.sum(v.cast("bigint")), F.lit(0).cast("bigint")).alias(f"b{i}") for i, v in enumerate(sizes.values())))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(n).alias("column"), F.col(f"b{i}").alias("bytes")) for i, n in enumerate(sizes)))))
+
+
 def pop_columns(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     return df.select(*columns), df.drop(*columns)
 
@@ -108,14 +159,16 @@ def head(df: DataFrame, order: list[Column], n: int) -> DataFrame:
 
 
 def train_val(df: DataFrame, key: Column, n_val: int, total: int, out: str = "split") -> DataFrame:
-    """'val' for the first min(max(0, n_val), max(0, total - 1)) rows by the key's digest, 'train' for the others. Only
-    the edge's digest goes to the driver."""
+    """'val' for the first min(max(0, n_val), max(0, total - 1)) rows by the key's digest, 'train' for the others. Nothing is
+    sorted but the digests of the first part, and rows are compared with its last digest; keys should be unique, as
+    equal ones go to the same side."""
     n = min(max(0, n_val), max(0, total - 1))
     if not n:
         return df.withColumn(out, F.lit("train"))
-    d = digest(key)
-    o = with_ordinal(df.withColumn("__d", d), [F.col("__d")], "__o")
-    return o.withColumn(out, F.when(F.col("__o") < n, F.lit("val")).otherwise(F.lit("train"))).drop("__d", "__o")
+    # The n-th digest: each task sends its n least ones at most, and what comes of it is one value.
+    d = df.withColumn("__d", digest(key))
+    edge = d.select("__d").orderBy("__d").limit(n).agg(F.max("__d").alias("e"), F.count(F.lit(1)).alias("n"))
+    return d.withColumn(out, F.when(F.col("__d") <= edge.select("e").scalar(), F.lit("val")).otherwise(F.lit("train"))).drop("__d")
 
 
 def ordered_distinct(df: DataFrame, keys: list[str], order: str) -> DataFrame:

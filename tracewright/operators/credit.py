@@ -26,6 +26,17 @@ def criterion_effects(original: DataFrame, intervened: DataFrame, keys: list[str
     return b.join(a, [*keys, "criterion_id"]).select(*keys, "block_index", "criterion_id", (F.col("__o") - F.col("__i")).cast("double").alias("effect"))
 
 
+def score_effects(original: DataFrame, intervened: DataFrame, keys: list[str], score: str = "score", valid: str | None = None) -> DataFrame:
+    """(keys, block_index, score_effect): original minus intervened score. An original of invalid format counts 0; a response
+    that was scored on one side only has no row."""
+    o = F.col(score).cast("double")
+    if valid:
+        o = F.when(F.col(valid), o).otherwise(F.lit(0.0))
+    a = original.select(*keys, o.alias("__o"))
+    b = intervened.select(*keys, "block_index", F.col(score).cast("double").alias("__i"))
+    return b.join(a, keys).select(*keys, "block_index", (F.col("__o") - F.col("__i")).alias("score_effect"))
+
+
 def block_credit(blocks: DataFrame, effects: DataFrame | None, advantages: DataFrame, keys: list[str]) -> DataFrame:
     """blocks with `credit`: the sum over effects that aren't 0 of advantage * |effect| * points; where that is 0,
     combined * (1 + max(0, max_z)).

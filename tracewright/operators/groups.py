@@ -58,16 +58,27 @@ def criterion_advantages(df: DataFrame, uid: str, resp: str, criterion: str, jud
     return r.select(uid, resp, F.when(F.col("__d") > EPS, F.col("__c") / (F.col("__d") + EPS)).otherwise(F.col("__c")).alias("combined"))
 
 
-def criterion_metrics(df: DataFrame, criterion: str, judged: str) -> DataFrame:
-    """(criterion, n, pass_ratio, pass_std): share of true judgements and their population std."""
+def criterion_metrics(df: DataFrame, criterion: str, judged: str, advantage: str | None = None) -> DataFrame:
+    """(criterion, n, pass_ratio, pass_std): share of true judgements and their population std; with `advantage`, adv_std,
+    the population std of the criterion's advantages."""
     j = F.col(judged).cast("double")
-    return df.groupBy(criterion).agg(F.count(F.lit(1)).alias("n"), F.avg(j).alias("pass_ratio"), F.stddev_pop(j).alias("pass_std"))
+    more = [] if advantage is None else [F.coalesce(F.stddev_pop(advantage), F.lit(0.0)).alias("adv_std")]
+    return df.groupBy(criterion).agg(F.count(F.lit(1)).alias("n"), F.avg(j).alias("pass_ratio"), F.stddev_pop(j).alias("pass_std"), *more)
+
+
+def criterion_z(df: DataFrame, uid: str, criterion: str, judged: str, out: str = "advantage") -> DataFrame:
+    """df with each judgement's z-score within its group and criterion (sample std); 0 where all judge alike."""
+    d = attach(df.withColumn("__j", F.when(F.col(judged), F.lit(1.0)).otherwise(F.lit(0.0))), [uid, criterion], {"__m": F.avg("__j"), "__s": F.coalesce(F.stddev_samp("__j"), F.lit(0.0))})
+    z = F.when(F.col("__s") > EPS, (F.col("__j") - F.col("__m")) / (F.col("__s") + EPS)).otherwise(F.lit(0.0))
+    return d.withColumn(out, z).drop("__j", "__m", "__s")
 
 
 def score_by_source(df: DataFrame, source: str, score: str) -> DataFrame:
-    """Mean score per source (null: 'unknown') and, with source 'all', over everything."""
+    """Mean score per source (null: 'unknown') and, with source 'all', over everything. A source that is named 'all' has its
+    own row beside it."""
     d = df.select(F.coalesce(F.col(source), F.lit("unknown")).alias("s"), F.col(score).alias("v"))
-    return d.rollup("s").agg(F.avg("v").alias("mean_score"), F.count("v").alias("n")).select(F.coalesce("s", F.lit("all")).alias("source"), "mean_score", "n")
+    g = d.rollup("s").agg(F.avg("v").alias("mean_score"), F.count("v").alias("n"), F.grouping("s").alias("__g"))
+    return g.select(F.when(F.col("__g") == 1, F.lit("all")).otherwise(F.col("s")).alias("source"), "mean_score", "n")
 
 
 def masked_mean(value: Column, mask: Column) -> Column:

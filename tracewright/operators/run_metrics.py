@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,10 +31,27 @@ def sequence_kl(df: DataFrame, seq: str, value: str, mask: str) -> DataFrame:
     return df.groupBy(seq).agg(m.alias("__m")).agg(F.avg("__m").alias("kl"))
 
 
-def flops(df: DataFrame, tokens: str, dense: float, head_dim: int, heads: int, layers: int) -> DataFrame:
-    """One row (tflops): 6 * dense * sum(n) + 12 * sum(n * n) * head_dim * heads * layers, in 1e12."""
+def flops(df: DataFrame, tokens: str, dense: float, head_dim: int, heads: int, layers: int, seconds: float | None = None) -> DataFrame:
+    """One row (tflops): 6 * dense * sum(n) + 12 * sum(n * n) * head_dim * heads * layers, in 1e12; of a second, if the
+    seconds are given."""
     n = F.col(tokens).cast("double")
-    return df.agg(((6.0 * dense * F.sum(n) + 12.0 * F.sum(n * n) * (head_dim * heads * layers)) / 1e12).alias("tflops"))
+    work = (6.0 * dense * F.sum(n) + 12.0 * F.sum(n * n) * (head_dim * heads * layers)) / 1e12
+    return df.agg((work if seconds is None else work / seconds).alias("tflops"))
+
+
+#: Families of models whose work is known: gated feed-forward layers with grouped attention.
+KNOWN_MODELS = frozenset(("llama", "qwen2", "qwen2_vl", "qwen2_5_vl", "qwen3"))
+
+
+def model_flops(df: DataFrame, tokens: str, model: dict, seconds: float) -> DataFrame:
+    """flops of a model by its shape (model_type, hidden_size, vocab_size, layers, heads, kv_heads, intermediate_size); 0 for an
+    unknown type."""
+    if model.get("model_type") not in KNOWN_MODELS:
+        return df.agg(F.lit(0.0).alias("tflops"))
+    h, head_dim = model["hidden_size"], model["hidden_size"] // model["heads"]
+    attention = h * (2 * model["heads"] + 2 * model["kv_heads"]) * head_dim
+    dense = (3 * h * model["intermediate_size"] + attention) * model["layers"] + 2 * model["vocab_size"] * h
+    return flops(df, tokens, float(dense), head_dim, model["heads"], model["layers"], seconds)
 
 
 # Peak TFLOPS by part of a device's name, looked up in this order.
@@ -76,6 +94,37 @@ def checkpoints_to_drop(paths: DataFrame, path: str, keep: int, score: str) -> D
     return d.where((F.col("step") < oldest_kept) & (F.col("step") != best))
 
 
+def retention(paths: DataFrame, path: str, score: str, keep: int = 0, keep_shards: int = 0) -> DataFrame:
+    """(path, step, drop): what is to be removed of checkpoints: 'all' of those beyond the newest `keep`, then 'shards' of those
+    left beyond the newest `keep_shards`. The best one by score is never touched; a bound of 0 is none."""
+    d = checkpoint_steps(paths, path)
+    drop = F.lit(None).cast("string")
+    if keep > 0:
+        gone = checkpoints_to_drop(paths, path, keep, score).select("step", F.lit("all").alias("__g"))
+        d = d.join(gone, "step", "left")
+        drop = F.col("__g")
+    d = d.withColumn("drop", drop)
+    if keep_shards > 0:
+        left = checkpoints_to_drop(d.where("drop is null").select(path, score), path, keep_shards, score).select("step", F.lit("shards").alias("__s"))
+        d = d.join(left, "step", "left").withColumn("drop", F.coalesce("drop", "__s"))
+    return d.where("drop is not null").select(path, "step", "drop")
+
+
+def write_tracker(spark: SparkSession, folder: str, step: int) -> None:
+    """Notes the last finished step of a run in its folder."""
+    spark.createDataFrame([(str(step),)], "step string").coalesce(1).write.mode("overwrite").text(f"{folder}/latest_checkpointed_iteration")
+
+
+def resume_path(spark: SparkSession, folder: str, paths: DataFrame, path: str) -> str | None:
+    """The checkpoint that the tracker names, if it is among the paths; None without a tracker or checkpoint."""
+    try:
+        noted = spark.read.text(f"{folder}/latest_checkpointed_iteration").first()
+    except AnalysisException:
+        return None
+    found = checkpoint_steps(paths, path).where(F.col("step") == int(noted[0])).agg(F.max(path)).first()[0] if noted else None
+    return found
+
+
 def validation_table(df: DataFrame, step: Column, columns: list[str], order: Column, n: int) -> DataFrame:
     """(step, samples): one row with the first n rows by `order` as an array of structs."""
     top = df.orderBy(order, *columns).limit(n)

@@ -60,6 +60,18 @@ def checkpoint_retention(spark, folder):
     return rm.checkpoints_to_drop(_paths(spark, folder), "path", 5, "score").select("path", "step")
 
 
+def checkpoint_removal(spark, folder):
+    """Whole checkpoints beyond the newest 20, shards of those beyond the newest 5."""
+    return rm.retention(_paths(spark, folder), "path", "score", 20, 5)
+
+
+def model_work(spark, folder):
+    d = table(spark, folder, "results").select(F.coalesce(F.size("tokens"), F.lit(0)).alias("n"))
+    shape = {"hidden_size": 1024, "vocab_size": 50_000, "layers": 28, "heads": 16, "kv_heads": 8, "intermediate_size": 3072}
+    out = [rm.model_flops(d, "n", shape | {"model_type": t}, 4.0).select(F.lit(t).alias("model_type"), F.round("tflops", 4).alias("tflops")) for t in ("qwen2", "unheard")]
+    return out[0].unionByName(out[1])
+
+
 def validation_samples(spark, folder):
     d = table(spark, folder, "results").where("error is null").select("result_id", "sample_id", "gold_answer")
     v = rm.validation_table(d, F.lit(3), ["result_id", "sample_id", "gold_answer"], F.sha2(F.concat_ws("-", F.lit("42"), F.col("result_id").cast("string")), 256), 8)
@@ -76,7 +88,7 @@ def run_stats(spark, folder):
     return r.agg(F.count(F.lit(1)).alias("records"), F.count("error").alias("errors"), F.sum(F.coalesce(F.size("top_actions"), F.lit(0))).alias("action_rows"), F.sum(F.coalesce(F.size("candidate_blocks"), F.lit(0))).alias("block_rows"))
 
 
-QUERIES = {f.__name__: f for f in (batch_metrics, explained_variance, timing_per_token, batch_kl, flops_estimate, device_peaks, metric_lines, latest_checkpoint, checkpoint_retention, validation_samples, review_report, run_stats)}
+QUERIES = {f.__name__: f for f in (batch_metrics, explained_variance, timing_per_token, batch_kl, flops_estimate, device_peaks, metric_lines, latest_checkpoint, checkpoint_retention, checkpoint_removal, model_work, validation_samples, review_report, run_stats)}
 
 _P = "p AS (SELECT c_custkey AS step, '/run/global_step_' || c_custkey AS path, round(c_acctbal, 2) AS score FROM customer WHERE c_custkey % 7 <> 0)"
 ORACLE = {
@@ -92,6 +104,10 @@ SELECT 'gen' AS stage, round(sum(a) * 1000.0::DOUBLE / sum(r), 6) AS ms_per_toke
     "metric_lines": "SELECT o_orderkey AS step, concat_ws(' - ', 'step:' || o_orderkey, printf('price:%.3f', o_totalprice), CASE WHEN o_custkey % 3 = 0 THEN printf('cust:%.3f', CAST(o_custkey AS DOUBLE)) END) AS line FROM orders",
     "latest_checkpoint": f"WITH {_P} SELECT arg_max(path, step) AS path, max(step) AS step FROM p",
     "checkpoint_retention": f"WITH {_P} SELECT path, step FROM p WHERE step NOT IN (SELECT step FROM p ORDER BY step DESC LIMIT 5) AND step <> (SELECT step FROM p ORDER BY score DESC, step DESC LIMIT 1)",
+    "checkpoint_removal": f"""WITH {_P}, b AS (SELECT step FROM p ORDER BY score DESC, step DESC LIMIT 1), o AS (SELECT path, step, row_number() OVER (ORDER BY step DESC) AS n FROM p),
+d AS (SELECT path, step, CASE WHEN n > 20 AND step NOT IN (SELECT step FROM b) THEN 'all' END AS d FROM o), k AS (SELECT path, step, row_number() OVER (ORDER BY step DESC) AS n FROM d WHERE d IS NULL)
+SELECT path, step, d AS "drop" FROM d WHERE d = 'all' UNION ALL SELECT path, step, 'shards' FROM k WHERE n > 5 AND step NOT IN (SELECT step FROM b)""",
+    "model_work": "SELECT 'qwen2' AS model_type, round((6.0::DOUBLE * ((3.0::DOUBLE * 1024 * 3072 + 1024 * 48 * 64) * 28 + 2.0::DOUBLE * 50000 * 1024) * sum(n) + 12.0::DOUBLE * sum(n * n) * 64 * 16 * 28) / 1e12 / 4, 4) AS tflops FROM (SELECT CAST(coalesce(len(tokens), 0) AS DOUBLE) AS n FROM results) UNION ALL SELECT 'unheard', 0",
     "validation_samples": "SELECT 3 AS step, string_agg(CAST(result_id AS VARCHAR), ',' ORDER BY result_id) AS ids FROM (SELECT result_id FROM results WHERE error IS NULL ORDER BY sha256('42-' || result_id) LIMIT 8)",
     "review_report": "SELECT string_agg('## ' || result_id || chr(10) || '- sample_id: ' || left(coalesce(sample_id, ''), 1200) || chr(10) || '- question: ' || left(coalesce(question, ''), 1200), chr(10) || chr(10) ORDER BY result_id) AS text FROM (SELECT * FROM results WHERE error IS NULL ORDER BY result_id LIMIT 20)",
     "run_stats": "SELECT count(*) AS records, count(error) AS errors, CAST(sum(coalesce(len(top_actions), 0)) AS BIGINT) AS action_rows, CAST(sum(coalesce(len(candidate_blocks), 0)) AS BIGINT) AS block_rows FROM results",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import text as tx
 from tracewright.operators import groups, rubrics
+from tracewright.plans import texts as text_plans
 from tracewright.session import settle, table
 
 
@@ -58,8 +59,9 @@ def criterion_advantages(spark, folder):
 
 
 def criterion_metrics(spark, folder):
-    d = groups.criterion_metrics(_judged(spark, folder), "criterion_id", "judged")
-    return d.select("criterion_id", "n", F.round("pass_ratio", 6).alias("pass_ratio"), F.round("pass_std", 6).alias("pass_std"))
+    z = groups.criterion_z(settle(_judged(spark, folder)), "verdict_id", "criterion_id", "judged")
+    d = groups.criterion_metrics(z, "criterion_id", "judged", "advantage")
+    return d.select("criterion_id", "n", *(F.round(c, 6).alias(c) for c in ("pass_ratio", "pass_std", "adv_std")))
 
 
 def attribution_validate(spark, folder):
@@ -111,8 +113,6 @@ v AS (SELECT a.verdict_id, g.pts, g.total, CASE WHEN j IS NULL THEN 'json' WHEN
  FROM a LEFT JOIN g ON a.sample_id = g.sample_id),
 s AS (SELECT v.verdict_id, CAST(q.pos + 1 AS INTEGER) AS answer_index, v.total, jd, pts, CAST(list_sum(list_transform(pts, lambda p, i: CASE WHEN jd[i] = 'true' THEN p ELSE 0 END)) AS DOUBLE) AS score FROM v JOIN q ON v.verdict_id = q.verdict_id WHERE v.error IS NULL),
 r AS (SELECT verdict_id, answer_index, unnest(range(1, len(pts) + 1)) AS c, unnest(pts) AS points, unnest(jd) = 'true' AS judged FROM s)"""
-_REG = """
-SELECT result_id, {cols} FROM results WHERE response IS NOT NULL"""
 ORACLE = {
     "rubric_validate": f"WITH {_C} SELECT e.sample_id, e.error, g.total, coalesce(g.total = e.maximum_score, false) AS maximum_ok FROM e LEFT JOIN g ON e.rid = g.rid",
     "rubric_criteria": f"WITH {_C} SELECT k.sample_id, criterion_id, category, points FROM k JOIN e ON e.rid = k.rid WHERE e.error IS NULL",
@@ -124,6 +124,11 @@ ORACLE = {
 w AS (SELECT r.verdict_id, answer_index, sum(CASE WHEN d > 1e-6 THEN points * (CAST(judged AS DOUBLE) - m) / (d + 1e-6) ELSE 0 END) AS wz, sum(CASE WHEN d > 1e-6 THEN points ELSE 0 END) AS w FROM r JOIN m ON r.verdict_id = m.verdict_id AND r.c = m.c GROUP BY 1, 2),
 z AS (SELECT verdict_id, answer_index, CASE WHEN w > 0 THEN wz / w ELSE 0 END AS z FROM w), n AS (SELECT verdict_id, coalesce(stddev_samp(z), 0) AS d FROM z GROUP BY 1)
 SELECT z.verdict_id, answer_index, round(CASE WHEN d > 1e-6 THEN z / (d + 1e-6) ELSE z END, 6) AS advantage FROM z JOIN n ON z.verdict_id = n.verdict_id""",
-    "criterion_metrics": f"WITH {_V} SELECT 'c' || c AS criterion_id, count(*) AS n, round(avg(CAST(judged AS DOUBLE)), 6) AS pass_ratio, round(stddev_pop(CAST(judged AS DOUBLE)), 6) AS pass_std FROM r GROUP BY 1",
+    "criterion_metrics": f"""WITH {_V}, m AS (SELECT verdict_id, c, avg(CAST(judged AS DOUBLE)) AS m, coalesce(stddev_samp(CAST(judged AS DOUBLE)), 0) AS d FROM r GROUP BY 1, 2),
+z AS (SELECT r.c, CAST(judged AS DOUBLE) AS j, CASE WHEN d > 1e-6 THEN (CAST(judged AS DOUBLE) - m) / (d + 1e-6) ELSE 0 END AS z FROM r JOIN m ON r.verdict_id = m.verdict_id AND r.c = m.c)
+SELECT 'c' || c AS criterion_id, count(*) AS n, round(avg(j), 6) AS pass_ratio, round(stddev_pop(j), 6) AS pass_std, round(stddev_pop(z), 6) AS adv_std FROM z GROUP BY 1""",
     "attribution_validate": f"WITH {_V} SELECT verdict_id, CASE WHEN verdict_id % 5 = 0 THEN 'version' END AS error, CASE WHEN verdict_id % 5 <> 0 THEN array_to_string(list_transform(pts, lambda p, i: 'c' || i), ',') END AS first_order FROM v WHERE error IS NULL",
+    "rule_scores": f"""SELECT b.result_id, b.score AS boxed, m.score AS boxed_math, x.overall AS math, t.overall AS think_answer, y.score AS yes_no, c.accuracy AS last_answer FROM ({text_plans.ORACLE["boxed_score"]}) b
+JOIN (SELECT result_id, CAST(CASE WHEN b IS NULL THEN 0.0 WHEN {text_plans._same(text_plans._norm("b"), text_plans._norm("gold_answer"))} THEN 1.0 ELSE 0.1 END AS DOUBLE) AS score FROM (SELECT result_id, gold_answer, {text_plans._BOX} AS b FROM {text_plans._R})) m ON m.result_id = b.result_id
+JOIN ({text_plans.ORACLE["math_score"]}) x ON x.result_id = b.result_id JOIN ({text_plans.ORACLE["think_answer_score"]}) t ON t.result_id = b.result_id JOIN ({text_plans.ORACLE["yes_no_score"]}) y ON y.result_id = b.result_id JOIN ({text_plans.ORACLE["combined_score"]}) c ON c.result_id = b.result_id""",
 }

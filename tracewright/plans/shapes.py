@@ -12,13 +12,6 @@ from tracewright.plans import texts as text_plans
 from tracewright.session import settle, table
 
 
-def corpus_convert(spark, folder):
-    d = table(spark, folder, "results").where("error is null").select("result_id", "question", "source", "response", "gold_answer")
-    problem = tx.sections(["Solve the task below.", ""], [("Source", F.col("source"))], ("Question", F.col("question")))
-    answer = F.coalesce(F.nullif(tx.clean(F.col("gold_answer")), F.lit("")), tx.extract_answer(tx.clean(F.col("response"))))
-    return d.select("result_id", F.md5(problem).alias("problem"), F.md5(tx.normalize_solution(F.col("response"), F.col("gold_answer"))).alias("solution"), answer.alias("answer"))
-
-
 def teacher_filter(spark, folder):
     """Per sample, how many responses stay."""
     d = table(spark, folder, "results").where("response is not null")
@@ -116,7 +109,7 @@ def image_lists(spark, folder):
     return d.select("p_partkey", F.array_join(batches.image_list(F.col("images"), F.col("image")), ",").alias("images"))
 
 
-QUERIES = {f.__name__: f for f in (corpus_convert, teacher_filter, onpolicy_groups, left_pad_collate, row_slice, reorder_rows, minibatch_epochs, length_info, metric_reduce, attribution_spans, score_groups, advantage_dispatch, base_urls, image_lists)}
+QUERIES = {f.__name__: f for f in (teacher_filter, onpolicy_groups, left_pad_collate, row_slice, reorder_rows, minibatch_epochs, length_info, metric_reduce, attribution_spans, score_groups, advantage_dispatch, base_urls, image_lists)}
 
 _N = "n AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS o, count(*) OVER () AS n FROM customer)"
 ORACLE = {

@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions import text as tx
+from tracewright.functions.arrays import last_valid_reward
 
 Scorer = Callable[[Column, Column], Column]
 
 SCORERS: dict[str, Scorer] = {
     "boxed": tx.boxed_score,
+    "boxed_math": tx.boxed_math_score,
     "math": lambda r, t: tx.math_score(r, t)["overall"],
     "think_answer": lambda r, t: tx.think_answer_score(r, t)["overall"],
     "yes_no": tx.yes_no_score,
@@ -32,14 +34,34 @@ def scorer(name: str) -> Scorer:
     return SCORERS[name]
 
 
-def score(df: DataFrame, name: str, response: str, truth: str, out: str = "score", uid: str = "uid", flag: str = "is_onpolicy") -> DataFrame:
-    """The rule's score for every row; where df has group and policy columns, off-policy rows get 0."""
+def score(df: DataFrame, name: str, response: str, truth: str, out: str = "score", uid: str = "uid", flag: str = "is_onpolicy", score_offpolicy: bool = False) -> DataFrame:
+    """The rule's score for every row. Where df has group and policy columns, off-policy rows get 0 unless
+    score_offpolicy is set."""
     s = scorer(name)(F.col(response), F.col(truth))
-    if uid in df.columns and flag in df.columns:
+    if uid in df.columns and flag in df.columns and not score_offpolicy:
         s = F.when(F.col(flag), s).otherwise(F.lit(0.0))
     return df.withColumn(out, F.coalesce(s, F.lit(0.0)))
 
 
+def token_rewards(
+    df: DataFrame, name: str, response: str, truth: str, length: str, judge: Callable[[DataFrame], DataFrame] | None = None, *, uid: str = "uid", flag: str = "is_onpolicy",
+    score_offpolicy: bool = False, out: str = "rewards",
+) -> DataFrame:
+    """df with score, path and `out`, the score at the response's last token (an empty array for length 0).
+
+    With group and policy columns in df the path is 'group': on-policy rows get what `judge` gives (it adds column
+    `judged`, null where a group failed, which falls back to the rule), off-policy rows the rule's score if
+    score_offpolicy is set, else 0. Without these columns the path is 'rule'."""
+    grouped = uid in df.columns and flag in df.columns
+    rule = F.coalesce(scorer(name)(F.col(response), F.col(truth)), F.lit(0.0))
+    d = judge(df) if grouped and judge is not None else df.withColumn("judged", F.lit(None).cast("double"))
+    s = rule
+    if grouped:
+        s = F.when(F.coalesce(F.col(flag), F.lit(True)), F.coalesce("judged", rule)).otherwise(rule if score_offpolicy else F.lit(0.0))
+    d = d.withColumn("score", s).withColumn("path", F.lit("group" if grouped else "rule")).drop("judged")
+    return d.withColumn(out, last_valid_reward(F.col("score"), F.coalesce(F.col(length), F.lit(0))))
+
+
 class Verifier(Protocol):
     """Adds column `payload`, a judgement as JSON text, to a table with column `prompt`."""
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -24,8 +24,9 @@ def replay(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def run_to_table(spark: SparkSession, df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None, out: str | None = None) -> DataFrame:
     """Runs a stream over all that is there now. In append mode the rows go to parquet; in update or complete mode each
-    batch's rows are kept and the last state of a key is up to the reader (column batch_id)."""
-    out = out or work_folder(spark, name)
+    batch's rows are kept and the last state of a key is up to the reader (column batch_id). A checkpoint folder that is
+    given is kept, and a later run goes on behind what was read."""
+    out, own = out or work_folder(spark, name), checkpoint is None
     checkpoint = checkpoint or work_folder(spark, name + "-state")
     w = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
@@ -33,13 +34,31 @@ def run_to_table(spark: SparkSession, df: DataFrame, name: str, mode: str = "app
     else:
 
         def put(batch: DataFrame, n: int) -> None:
-            batch.withColumn("batch_id", F.lit(n)).write.mode("append").parquet(out)
+            """A batch that is run again replaces what it wrote before: each has a folder of its own."""
+            batch.write.mode("overwrite").parquet(f"{out}/batch_id={n}")
 
         q = w.outputMode(mode).foreachBatch(put).start()
     q.awaitTermination()
+    if own:
+        forget(spark, checkpoint)  # nobody can go on from it
     return spark.read.parquet(out)
 
 
+def bounded_stream(df: DataFrame, keep: Column, most: int) -> DataFrame:
+    """The first rows of a stream that pass, at most `most` over all its batches; a bound is required. The filter runs
+    before the cut, and nothing is shuffled before it."""
+    if most <= 0:
+        raise ValueError("a bounded scan needs a positive bound")
+    return df.where(keep).limit(most)
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Removes folders of finished jobs (outputs and stream states) in whatever file system they are."""
+    for p in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "1 day", slide: str | None = None) -> DataFrame:
     """(window_start, event_type, n, total) by event time; rows later than the watermark are dropped."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
