@@ -206,9 +206,9 @@ def quarantine(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, Dat
     return d.where("reason is null").drop("reason"), d.where("reason is not null")
 
 
-def violations(df: DataFrame, key: str, *, ids: str, mask: str, values: str) -> DataFrame:
+def violations(df: DataFrame, key: str, *, ids: str, mask: str, values: str, vocabulary: int | None = None) -> DataFrame:
     """(key, rule) for every rule a batch row breaks: shapes differ, mask isn't 0/1, no valid token, a value isn't
-    finite, an id is negative. Null arrays break 'missing'."""
+    finite, an id is negative or, if its size is given, beyond the vocabulary. Null arrays break 'missing'."""
     i, m, v = F.col(ids), F.col(mask), F.col(values)
     rules = {
         "missing": i.isNull() | m.isNull() | v.isNull(),
@@ -216,7 +216,7 @@ def violations(df: DataFrame, key: str, *, ids: str, mask: str, values: str) ->
         "mask": F.exists(m, lambda x: ~x.isin(0, 1)),
         "empty": F.aggregate(m, F.lit(0), lambda s, x: s + x) <= 0,
         "finite": F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf")) | x.isNull()),
-        "range": F.exists(i, lambda x: x < 0),
+        "range": F.exists(i, lambda x: x < 0 if vocabulary is None else (x < 0) | (x >= vocabulary)),
     }
     hit = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items())), lambda x: x.isNotNull())
     return df.select(key, F.explode(hit).alias("rule"))

@@ -83,3 +83,21 @@ def credit_metrics(blocks: DataFrame, responses: DataFrame, effects: DataFrame,
     e = effects.where("effect <> 0").agg(F.coalesce(F.avg(F.abs("effect")), F.lit(0.0)).alias("m")).scalar()
     total = F.coalesce(F.sum(F.greatest("n_tokens", F.lit(0))), F.lit(0))
     return responses.agg(total.alias("n_tokens")).select(n.alias("nonzero_blocks"), F.when(F.col("n_tokens") > 0, covered / F.col("n_tokens")).otherwise(F.lit(0.0)).alias("token_coverage"), e.alias("abs_effect_mean"))
+
+
+def response_metrics(blocks: DataFrame, responses: DataFrame, effects: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, nonzero_blocks, token_coverage, abs_effect_mean, used_effects, used_fallback) for every response. used_effects:
+    some effect isn't 0; used_fallback: no block has credit within the response, so `combined` goes to all tokens."""
+    ok = (F.col("token_start") >= 0) & (F.col("token_end") >= F.col("token_start")) & (F.col("token_start") < F.col("n_tokens")) & (F.col("credit") != 0)
+    b = blocks.join(responses.select(*keys, "n_tokens"), keys).where(ok)
+    t = b.select(*keys, F.explode(F.sequence(F.col("token_start"), F.least(F.col("token_end"), F.col("n_tokens") - 1))).alias("token")).distinct()
+    e = effects.where("effect <> 0").groupBy(*keys).agg(F.avg(F.abs("effect")).alias("__e"))
+    d = responses.join(b.groupBy(*keys).agg(F.count(F.lit(1)).alias("__b")), keys, "left").join(t.groupBy(*keys).agg(F.count(F.lit(1)).alias("__t")), keys, "left").join(e, keys, "left")
+    n, zero = F.coalesce("__b", F.lit(0).cast("bigint")), F.lit(0.0)
+    covered = F.when(F.col("n_tokens") > 0, F.coalesce("__t", F.lit(0)) / F.col("n_tokens")).otherwise(zero)
+    return d.select(*keys, n.alias("nonzero_blocks"), covered.alias("token_coverage"), F.coalesce("__e", zero).alias("abs_effect_mean"), F.col("__e").isNotNull().alias("used_effects"), (n == 0).alias("used_fallback"))
+
+
+def averaged_metrics(metrics: DataFrame, figures: tuple[str, ...] = ("nonzero_blocks", "token_coverage", "abs_effect_mean", "used_effects", "used_fallback")) -> DataFrame:
+    """One row: the means of the responses' figures; flags become shares."""
+    return metrics.agg(*(F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in figures))

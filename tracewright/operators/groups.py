@@ -128,3 +128,24 @@ def group_scores(judged: DataFrame, scores: DataFrame, uid: str, resp: str) -> D
     d = fallback_advantage(scores, uid, "score", "__rule").join(good, [uid, resp], "left")
     has = F.col("__good").isNotNull()
     return d.select(uid, resp, F.coalesce("__good", "__rule").alias("advantage"), (~has).alias("used_rule"))
+
+
+def score_pipeline(scores: DataFrame, judged: DataFrame, normalized: DataFrame, taught: DataFrame, uid: str, resp: str, fallback: bool = True) -> DataFrame:
+    """(uid, resp, score, advantage, error) for every response: the whole scoring of groups, in which a group that fails falls
+    back and never ends the query.
+
+    A group fails with error 'teacher' if `taught` (uid) doesn't hold it, since no teacher's answer was left, else with
+    'verdict' if it has no judgements. Its responses get the rule's score (`scores`: uid, resp, score), or 0 without
+    fallback, and z-scores of these; others their normalized score (uid, resp, score) and criterion advantage (from
+    `judged`, see group_scores). A response that the verdict of a good group leaves out counts 0."""
+    t = taught.select(uid).distinct().withColumn("__t", F.lit(True))
+    v = judged.select(uid).distinct().withColumn("__v", F.lit(True))
+    d = scores.join(t, uid, "left").join(v, uid, "left")
+    d = d.withColumn("error", F.when(F.col("__t").isNull(), F.lit("teacher")).when(F.col("__v").isNull(), F.lit("verdict")))
+    d = d.withColumn("__r", F.coalesce("score", F.lit(0.0)) if fallback else F.lit(0.0))
+    d = fallback_advantage(d, uid, "__r", "__a")
+    n = normalized.select(uid, resp, F.col("score").alias("__n"))
+    c = criterion_advantages(judged, uid, resp, "criterion_id", "judged", "points").withColumnRenamed("combined", "__c")
+    d = d.join(n, [uid, resp], "left").join(c, [uid, resp], "left")
+    bad, zero = F.col("error").isNotNull(), F.lit(0.0)
+    return d.select(uid, resp, F.when(bad, F.col("__r")).otherwise(F.coalesce("__n", zero)).alias("score"), F.when(bad, F.col("__a")).otherwise(F.coalesce("__c", zero)).alias("advantage"), "error")

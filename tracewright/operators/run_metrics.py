@@ -7,10 +7,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def batch_metrics(df: DataFrame, figures: dict[str, Column], lengths: str, longest: int) -> DataFrame:
-    """One row: mean, max and min of each figure, of the length, and the share of rows at the greatest length."""
-    aggs = [f(c).alias(f"{n}_{k}") for n, c in {**figures, "length": F.col(lengths)}.items() for k, f in (("mean", F.avg), ("max", F.max), ("min", F.min))]
-    return df.agg(*aggs, F.avg((F.col(lengths) >= longest).cast("double")).alias("clip_ratio"))
+def batch_metrics(df: DataFrame, figures: dict[str, Column], lengths: str, longest: int | None = None, masks: dict[str, Column] | None = None) -> DataFrame:
+    """One row: mean, max and min of each figure (where it has a mask, of the rows that it lets through), of the length, and
+    the share of rows at the greatest length: `longest`, or that of the batch."""
+    on = {n: F.when(masks[n], c) if masks and n in masks else c for n, c in figures.items()}
+    aggs = [f(c).alias(f"{n}_{k}") for n, c in {**on, "length": F.col(lengths)}.items() for k, f in (("mean", F.avg), ("max", F.max), ("min", F.min))]
+    most = F.lit(longest) if longest is not None else df.agg(F.max(lengths)).scalar()
+    return df.agg(*aggs, F.avg((F.col(lengths) >= most).cast("double")).alias("clip_ratio"))
 
 
 def explained_variance(df: DataFrame, ret: str, value: str) -> DataFrame:
@@ -131,6 +134,27 @@ def validation_table(df: DataFrame, step: Column, columns: list[str], order: Col
     return top.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("samples")).select(step.alias("step"), "samples")
 
 
+def validation_row(df: DataFrame, step: Column, columns: list[str], order: Column, n: int) -> DataFrame:
+    """One wide row: step, then the columns of the first n rows by `order` as name_1, name_2, ...; null where there are fewer."""
+    t = validation_table(df, step, columns, order, n)
+    return t.select("step", *(F.get("samples", F.lit(i))[c].alias(f"{c}_{i + 1}") for i in range(n) for c in columns))
+
+
+def review(df: DataFrame, n: int, order: str, top: str = "top_actions", blocks: str = "candidate_blocks") -> DataFrame:
+    """(text): one row, a Markdown review of the first n records without an error: question (cut at 1200 characters), expected
+    answer, top actions by rank with their z, and blocks with their greatest z. Null arrays list nothing."""
+    z = lambda c: F.coalesce(F.format_string("%.3f", c), F.lit("-"))
+    acts = F.transform(top, lambda a, i: F.concat((i + 1).cast("string"), F.lit(". ["), z(a["entropy_robust_z"]), F.lit("] "), F.coalesce(a["text"], F.lit(""))))
+    parts = F.transform(blocks, lambda b: F.concat(F.lit("- block "), b["block_index"].cast("string"), F.lit(" ["), z(b["block_max_robust_e"]), F.lit("]: "), F.coalesce(b["text"], F.lit(""))))
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("## "), F.col(order).cast("string")), F.concat(F.lit("Question: "), F.left(F.coalesce("question", F.lit("")), F.lit(1200))),
+        F.concat(F.lit("Expected: "), F.coalesce("gold_answer", F.lit(""))), F.lit("Top actions:"), acts, F.lit("Blocks:"), parts,
+    )
+    rows = df.where("error is null").orderBy(order).limit(n).select(order, text.alias("part"))
+    one = rows.agg(F.array_sort(F.collect_list(F.struct(order, "part"))).alias("r"))
+    return one.select(F.array_join(F.transform("r", lambda x: x["part"]), "\n\n").alias("text"))
+
+
 def report(df: DataFrame, columns: list[str], n: int, order: str) -> DataFrame:
     """(text): one row, a Markdown list of the first n rows, texts cut at 1200 characters."""
     part = F.concat(F.lit("## "), F.col(order).cast("string"), *(F.concat(F.lit(f"\n- {c}: "), F.left(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(1200))) for c in columns))

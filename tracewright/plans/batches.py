@@ -8,6 +8,9 @@ from tracewright.operators import batches
 from tracewright.session import table
 
 
+VOCABULARY = 90_000
+
+
 def _c(spark, folder):
     d = table(spark, folder, "customer")
     return d.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
@@ -106,7 +109,7 @@ def validate_batch(spark, folder):
     r = table(spark, folder, "results")
     v = F.transform("tokens", lambda t: t["entropy"])
     d = r.select("result_id", F.transform("tokens", lambda t: t["token_id"]).alias("ids"), F.transform("tokens", lambda t: (t["char_end"] > t["char_start"]).cast("int")).alias("mask"), v.alias("values"))
-    return batches.violations(d, "result_id", ids="ids", mask="mask", values="values")
+    return batches.violations(d, "result_id", ids="ids", mask="mask", values="values", vocabulary=VOCABULARY)
 
 
 def select_pop_rename(spark, folder):
@@ -134,10 +137,10 @@ ORACLE = {
     "first_groups": "WITH f AS (SELECT l_orderkey, min(CAST(l_shipdate AS DATE)) AS d FROM lineitem GROUP BY 1 ORDER BY 2, 1 LIMIT 25) SELECT l.l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem l JOIN f ON l.l_orderkey = f.l_orderkey",
     "fold_rows": f"WITH {_O} SELECT o // 16 AS row, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY o) AS keys FROM o GROUP BY 1",
     "quarantine_rows": "SELECT doc_id, reason FROM (SELECT doc_id, CASE WHEN NOT coalesce(length(trim(text)) > 0, false) THEN 'text' WHEN NOT coalesce(lower(lang) IN ('en', 'es', 'de', 'fr', 'zh'), false) THEN 'lang' WHEN NOT coalesce(n_chars <= 20000, false) THEN 'length' END AS reason FROM documents) WHERE reason IS NOT NULL",
-    "validate_batch": """WITH d AS (SELECT result_id, tokens AS t FROM results)
+    "validate_batch": f"""WITH d AS (SELECT result_id, tokens AS t FROM results)
 SELECT result_id, 'missing' AS rule FROM d WHERE t IS NULL
 UNION ALL SELECT result_id, 'empty' FROM d WHERE t IS NOT NULL AND coalesce(list_sum(list_transform(t, lambda x: CAST(x.char_end > x.char_start AS INTEGER))), 0) <= 0
 UNION ALL SELECT result_id, 'finite' FROM d WHERE len(list_filter(t, lambda x: x.entropy IS NULL OR isnan(x.entropy) OR isinf(x.entropy))) > 0
-UNION ALL SELECT result_id, 'range' FROM d WHERE len(list_filter(t, lambda x: x.token_id < 0)) > 0""",
+UNION ALL SELECT result_id, 'range' FROM d WHERE len(list_filter(t, lambda x: x.token_id < 0 OR x.token_id >= {VOCABULARY})) > 0""",
     "select_pop_rename": "SELECT c_custkey, c_name AS name FROM customer",
 }

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.operators import credit
-from tracewright.session import table
+from tracewright.session import settle, table
 
 _RULES = {"c1": "(^|[^0-9])[1-9][0-9][0-9]", "c2": "(?i)therefore", "c3": "Answer:"}
 
@@ -58,7 +58,14 @@ def credit_metrics(spark, folder):
     return d.select(*(F.round(F.col(c).cast("double"), 6).alias(c) for c in d.columns))
 
 
-QUERIES = {f.__name__: f for f in (intervention_effects, block_credit, token_credit, credit_metrics)}
+def credit_averages(spark, folder):
+    """Means over the responses of each one's figures."""
+    resp, b, e = _parts(spark, folder)
+    d = credit.averaged_metrics(credit.response_metrics(settle(b), resp, settle(e), ["result_id"]))
+    return d.select(*(F.round(c, 6).alias(c) for c in d.columns))
+
+
+QUERIES = {f.__name__: f for f in (intervention_effects, block_credit, token_credit, credit_metrics, credit_averages)}
 
 _E = """
 r AS (SELECT * FROM results WHERE response IS NOT NULL AND tokens IS NOT NULL),
@@ -79,4 +86,8 @@ ORACLE = {
     "token_credit": f"""WITH {_E}, d AS (SELECT result_id, combined, unnest(range(n)) AS token FROM n)
 SELECT d.result_id, CAST(d.token AS INTEGER) AS token, round(coalesce(u.c, CASE WHEN d.result_id IN (SELECT result_id FROM k) THEN 0 ELSE combined END), 6) AS credit FROM d LEFT JOIN u ON d.result_id = u.result_id AND d.token = u.token""",
     "credit_metrics": f"WITH {_E} SELECT CAST((SELECT count(*) FROM k) AS DOUBLE) AS nonzero_blocks, round((SELECT count(*) FROM u) / (SELECT sum(n) FROM n)::DOUBLE, 6) AS token_coverage, round((SELECT avg(abs(effect)) FROM e WHERE effect <> 0), 6) AS abs_effect_mean",
+    "credit_averages": f"""WITH {_E}, kb AS (SELECT result_id, count(*) AS b FROM k GROUP BY 1), kt AS (SELECT result_id, count(*) AS t FROM u GROUP BY 1), ke AS (SELECT result_id, avg(abs(effect)) AS a FROM e WHERE effect <> 0 GROUP BY 1)
+SELECT round(avg(coalesce(b, 0)), 6) AS nonzero_blocks, round(avg(CASE WHEN n > 0 THEN coalesce(t, 0) / n::DOUBLE ELSE 0 END), 6) AS token_coverage, round(avg(coalesce(a, 0)), 6) AS abs_effect_mean,
+ round(avg(CAST(a IS NOT NULL AS DOUBLE)), 6) AS used_effects, round(avg(CAST(coalesce(b, 0) = 0 AS DOUBLE)), 6) AS used_fallback
+FROM n LEFT JOIN kb ON n.result_id = kb.result_id LEFT JOIN kt ON n.result_id = kt.result_id LEFT JOIN ke ON n.result_id = ke.result_id""",
 }

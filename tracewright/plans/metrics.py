@@ -13,8 +13,9 @@ def _rounded(d, n=6):
 
 
 def batch_metrics(spark, folder):
-    d = table(spark, folder, "lineitem").select("l_quantity", "l_discount", "l_linenumber")
-    return _rounded(rm.batch_metrics(d, {"reward": F.col("l_quantity"), "value": F.col("l_discount")}, "l_linenumber", 7))
+    d = table(spark, folder, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_linestatus", "l_linenumber")
+    figures = {"reward": F.col("l_quantity"), "value": F.col("l_discount"), "advantage": F.col("l_tax")}
+    return _rounded(rm.batch_metrics(d, figures, "l_linenumber", masks={"advantage": F.col("l_linestatus") == "F"}))
 
 
 def explained_variance(spark, folder):
@@ -78,6 +79,16 @@ def validation_samples(spark, folder):
     return v.select("step", F.array_join(F.transform("samples", lambda s: s["result_id"].cast("string")), ",").alias("ids"))
 
 
+def validation_wide(spark, folder):
+    d = table(spark, folder, "results").where("error is null").select("result_id", "sample_id", "gold_answer")
+    return rm.validation_row(d, F.lit(3), ["result_id", "sample_id", "gold_answer"], F.sha2(F.concat_ws("-", F.lit("42"), F.col("result_id").cast("string")), 256), 4)
+
+
+def review_actions(spark, folder):
+    d = table(spark, folder, "results").select("result_id", "question", "gold_answer", "error", "top_actions", "candidate_blocks")
+    return rm.review(d, 20, "result_id")
+
+
 def review_report(spark, folder):
     d = table(spark, folder, "results").where("error is null").select("result_id", "sample_id", "question")
     return rm.report(d, ["sample_id", "question"], 20, "result_id")
@@ -88,12 +99,13 @@ def run_stats(spark, folder):
     return r.agg(F.count(F.lit(1)).alias("records"), F.count("error").alias("errors"), F.sum(F.coalesce(F.size("top_actions"), F.lit(0))).alias("action_rows"), F.sum(F.coalesce(F.size("candidate_blocks"), F.lit(0))).alias("block_rows"))
 
 
-QUERIES = {f.__name__: f for f in (batch_metrics, explained_variance, timing_per_token, batch_kl, flops_estimate, device_peaks, metric_lines, latest_checkpoint, checkpoint_retention, checkpoint_removal, model_work, validation_samples, review_report, run_stats)}
+QUERIES = {f.__name__: f for f in (batch_metrics, explained_variance, timing_per_token, batch_kl, flops_estimate, device_peaks, metric_lines, latest_checkpoint, checkpoint_retention, checkpoint_removal, model_work, validation_samples, validation_wide, review_actions, review_report, run_stats)}
 
 _P = "p AS (SELECT c_custkey AS step, '/run/global_step_' || c_custkey AS path, round(c_acctbal, 2) AS score FROM customer WHERE c_custkey % 7 <> 0)"
 ORACLE = {
     "batch_metrics": """SELECT round(avg(l_quantity), 6) AS reward_mean, round(max(l_quantity), 6) AS reward_max, round(min(l_quantity), 6) AS reward_min, round(avg(l_discount), 6) AS value_mean, round(max(l_discount), 6) AS value_max, round(min(l_discount), 6) AS value_min,
- round(avg(l_linenumber), 6) AS length_mean, CAST(max(l_linenumber) AS DOUBLE) AS length_max, CAST(min(l_linenumber) AS DOUBLE) AS length_min, round(avg(CAST(l_linenumber >= 7 AS DOUBLE)), 6) AS clip_ratio FROM lineitem""",
+ round(avg(l_tax) FILTER (l_linestatus = 'F'), 6) AS advantage_mean, round(max(l_tax) FILTER (l_linestatus = 'F'), 6) AS advantage_max, round(min(l_tax) FILTER (l_linestatus = 'F'), 6) AS advantage_min,
+ round(avg(l_linenumber), 6) AS length_mean, CAST(max(l_linenumber) AS DOUBLE) AS length_max, CAST(min(l_linenumber) AS DOUBLE) AS length_min, round(avg(CAST(l_linenumber >= (SELECT max(l_linenumber) FROM lineitem) AS DOUBLE)), 6) AS clip_ratio FROM lineitem""",
     "explained_variance": "SELECT round(1 - var_samp(l_quantity - l_linenumber) / (var_samp(l_quantity) + 1e-5), 6) AS explained_variance FROM lineitem",
     "timing_per_token": """WITH d AS (SELECT coalesce(len(tokens), 0) AS r, coalesce(len(tokens), 0) + coalesce(length(prompt), 0) AS o, result_id % 11 AS a, result_id % 5 AS b FROM results)
 SELECT 'gen' AS stage, round(sum(a) * 1000.0::DOUBLE / sum(r), 6) AS ms_per_token FROM d UNION ALL SELECT 'update', round(sum(b) * 1000.0::DOUBLE / sum(o), 6) FROM d""",
@@ -109,6 +121,14 @@ d AS (SELECT path, step, CASE WHEN n > 20 AND step NOT IN (SELECT step FROM b) T
 SELECT path, step, d AS "drop" FROM d WHERE d = 'all' UNION ALL SELECT path, step, 'shards' FROM k WHERE n > 5 AND step NOT IN (SELECT step FROM b)""",
     "model_work": "SELECT 'qwen2' AS model_type, round((6.0::DOUBLE * ((3.0::DOUBLE * 1024 * 3072 + 1024 * 48 * 64) * 28 + 2.0::DOUBLE * 50000 * 1024) * sum(n) + 12.0::DOUBLE * sum(n * n) * 64 * 16 * 28) / 1e12 / 4, 4) AS tflops FROM (SELECT CAST(coalesce(len(tokens), 0) AS DOUBLE) AS n FROM results) UNION ALL SELECT 'unheard', 0",
     "validation_samples": "SELECT 3 AS step, string_agg(CAST(result_id AS VARCHAR), ',' ORDER BY result_id) AS ids FROM (SELECT result_id FROM results WHERE error IS NULL ORDER BY sha256('42-' || result_id) LIMIT 8)",
+    "validation_wide": "WITH t AS (SELECT result_id, sample_id, gold_answer FROM results WHERE error IS NULL ORDER BY sha256('42-' || result_id) LIMIT 4), n AS (SELECT *, row_number() OVER (ORDER BY result_id) AS n FROM t) SELECT 3 AS step, "
+    + ", ".join(f"any_value({c}) FILTER (n = {i}) AS {c}_{i}" for i in range(1, 5) for c in ("result_id", "sample_id", "gold_answer"))
+    + " FROM n",
+    "review_actions": """WITH r AS (SELECT * FROM results WHERE error IS NULL ORDER BY result_id LIMIT 20),
+t AS (SELECT result_id, array_to_string(list_concat(['## ' || result_id, 'Question: ' || left(coalesce(question, ''), 1200), 'Expected: ' || coalesce(gold_answer, ''), 'Top actions:'],
+ coalesce(list_transform(top_actions, lambda a, i: i || '. [' || coalesce(printf('%.3f', a.entropy_robust_z), '-') || '] ' || coalesce(a.text, '')), []), ['Blocks:'],
+ coalesce(list_transform(candidate_blocks, lambda b: '- block ' || b.block_index || ' [' || coalesce(printf('%.3f', b.block_max_robust_e), '-') || ']: ' || coalesce(b.text, '')), [])), chr(10)) AS x FROM r)
+SELECT string_agg(x, chr(10) || chr(10) ORDER BY result_id) AS text FROM t""",
     "review_report": "SELECT string_agg('## ' || result_id || chr(10) || '- sample_id: ' || left(coalesce(sample_id, ''), 1200) || chr(10) || '- question: ' || left(coalesce(question, ''), 1200), chr(10) || chr(10) ORDER BY result_id) AS text FROM (SELECT * FROM results WHERE error IS NULL ORDER BY result_id LIMIT 20)",
     "run_stats": "SELECT count(*) AS records, count(error) AS errors, CAST(sum(coalesce(len(top_actions), 0)) AS BIGINT) AS action_rows, CAST(sum(coalesce(len(candidate_blocks), 0)) AS BIGINT) AS block_rows FROM results",
 }

@@ -84,6 +84,15 @@ def score_groups(spark, folder):
     return d.select("verdict_id", "answer_index", F.round("advantage", 6).alias("advantage"), "used_rule")
 
 
+def score_pipeline(spark, folder):
+    """Verdicts as groups; every fourth has no teacher's answer left."""
+    judged = settle(rubric_plans._judged(spark, folder))
+    v = table(spark, folder, "verdicts").select("verdict_id", F.posexplode(F.sequence(F.lit(1), F.lit(6))).alias("p", "answer_index"))
+    scores = v.select("verdict_id", "answer_index", ((F.col("verdict_id") * 7 + F.col("answer_index") * 3) % 5).cast("double").alias("score"))
+    d = groups.score_pipeline(scores, judged, rubric_plans.normalized_scores(spark, folder), table(spark, folder, "verdicts").where("verdict_id % 4 <> 0"), "verdict_id", "answer_index")
+    return d.select("verdict_id", "answer_index", F.round("score", 6).alias("score"), F.round("advantage", 6).alias("advantage"), "error")
+
+
 def _responses(spark, folder):
     r = table(spark, folder, "results").where("tokens is not null and size(tokens) > 0")
     n = F.transform("tokens", lambda t: t["token_index"].cast("double"))
@@ -109,7 +118,7 @@ def image_lists(spark, folder):
     return d.select("p_partkey", F.array_join(batches.image_list(F.col("images"), F.col("image")), ",").alias("images"))
 
 
-QUERIES = {f.__name__: f for f in (teacher_filter, onpolicy_groups, left_pad_collate, row_slice, reorder_rows, minibatch_epochs, length_info, metric_reduce, attribution_spans, score_groups, advantage_dispatch, base_urls, image_lists)}
+QUERIES = {f.__name__: f for f in (teacher_filter, onpolicy_groups, left_pad_collate, row_slice, reorder_rows, minibatch_epochs, length_info, metric_reduce, attribution_spans, score_groups, score_pipeline, advantage_dispatch, base_urls, image_lists)}
 
 _N = "n AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS o, count(*) OVER () AS n FROM customer)"
 ORACLE = {
@@ -133,6 +142,13 @@ SELECT result_id, CAST(block AS INTEGER) AS block, CAST(p AS INTEGER) AS char_st
 sc AS (SELECT verdict_id, CAST(i AS INTEGER) AS answer_index, CAST((verdict_id * 7 + i * 3) % 5 AS DOUBLE) AS score FROM verdicts, range(1, 7) t(i)), fs AS (SELECT verdict_id, avg(score) AS m, stddev_samp(score) AS d FROM sc GROUP BY 1)
 SELECT sc.verdict_id, sc.answer_index, coalesce(adv.advantage, round(CASE WHEN fs.d > 1e-6 THEN (score - fs.m) / (fs.d + 1e-6) ELSE 0 END, 6)) AS advantage, adv.advantage IS NULL AS used_rule
 FROM sc JOIN fs ON sc.verdict_id = fs.verdict_id LEFT JOIN adv ON sc.verdict_id = adv.verdict_id AND sc.answer_index = adv.answer_index""",
+    "score_pipeline": rubric_plans.ORACLE["criterion_advantages"].replace("SELECT z.verdict_id, answer_index,", ", adv AS (SELECT z.verdict_id, answer_index,") + """),
+nm AS (SELECT verdict_id, answer_index, round(CASE WHEN total > 0 THEN greatest(least(score / total, 1), 0) ELSE 0 END, 6) AS score FROM s),
+sc AS (SELECT verdict_id, CAST(i AS INTEGER) AS answer_index, CAST((verdict_id * 7 + i * 3) % 5 AS DOUBLE) AS score FROM verdicts, range(1, 7) t(i)), fs AS (SELECT verdict_id, avg(score) AS m, stddev_samp(score) AS d FROM sc GROUP BY 1),
+er AS (SELECT verdict_id, CASE WHEN verdict_id % 4 = 0 THEN 'teacher' WHEN verdict_id NOT IN (SELECT verdict_id FROM r) THEN 'verdict' END AS error FROM verdicts)
+SELECT sc.verdict_id, sc.answer_index, CASE WHEN error IS NOT NULL THEN sc.score ELSE coalesce(nm.score, 0) END AS score,
+ CASE WHEN error IS NOT NULL THEN round(CASE WHEN fs.d > 1e-6 THEN (sc.score - fs.m) / (fs.d + 1e-6) ELSE 0 END, 6) ELSE coalesce(adv.advantage, 0) END AS advantage, error
+FROM sc JOIN fs ON sc.verdict_id = fs.verdict_id JOIN er ON sc.verdict_id = er.verdict_id LEFT JOIN adv ON sc.verdict_id = adv.verdict_id AND sc.answer_index = adv.answer_index LEFT JOIN nm ON sc.verdict_id = nm.verdict_id AND sc.answer_index = nm.answer_index""",
     "advantage_dispatch": """WITH r AS (SELECT result_id, sample_id AS uid, CAST(len(tokens) AS DOUBLE) AS score, result_id % 5 <> 0 AS on_p, tokens FROM results WHERE len(tokens) > 0),
 g AS (SELECT uid, count(*) AS n, avg(score) AS m, stddev_samp(score) AS d FROM r WHERE on_p GROUP BY 1),
 a AS (SELECT r.result_id, tokens, CASE WHEN NOT on_p THEN 1.0 WHEN n <= 1 THEN score / (1 + 1e-6) ELSE (score - m) / (d + 1e-6) END AS a FROM r LEFT JOIN g ON r.uid = g.uid),

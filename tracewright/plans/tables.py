@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.operators.batches import with_ordinal
-from tracewright.session import table
+from tracewright.session import table, work_folder
 from tracewright.sources import files
 from tracewright.streaming import jobs
 
@@ -46,7 +46,42 @@ def stream_filter(spark, folder):
     return jobs.run_to_table(spark, d, "errors")
 
 
-QUERIES = {f.__name__: f for f in (samples_loaded, samples_drawn, event_windows, event_windows_stream, stateful_coef_stream, stream_filter)}
+def jsonl_round_trip(spark, folder):
+    """Nested records as JSON lines and back."""
+    d = table(spark, folder, "rubrics")
+    path = work_folder(spark, "records") + ".jsonl"
+    files.write_jsonl(d, path)
+    return files.read_records(spark, path, d.schema).select("sample_id", F.size("rubrics").alias("n"), F.get("rubrics", F.lit(0))["criterion"].alias("criterion"), "maximum_score")
+
+
+def csv_round_trip(spark, folder):
+    """Texts with quotes and line breaks as CSV and back: all columns are texts."""
+    d = table(spark, folder, "samples")
+    path = work_folder(spark, "records") + ".csv"
+    files.write_csv(d, path, ["sample_id", "question", "choices", "none"])
+    return files.read_records(spark, path).select("sample_id", F.md5(F.coalesce("question", F.lit(""))).alias("question"), F.coalesce(F.length("choices") > 0, F.lit(False)).alias("has_choices"), F.coalesce("none", F.lit("")).alias("none"))
+
+
+def split_scan(spark, folder):
+    """Two splits of a folder, one as parquet and one as JSON lines, by path@split."""
+    base = work_folder(spark, "splits")
+    d = table(spark, folder, "customer").select("c_custkey", "c_name")
+    d.where("c_custkey % 5 <> 0").write.parquet(f"{base}/train.parquet")
+    d.where("c_custkey % 5 = 0").write.json(f"{base}/test.jsonl")
+    return files.read_split(spark, base).unionByName(files.read_split(spark, f"{base}@test", d.schema)).select("c_custkey", "c_name", "split")
+
+
+def outputs_written(spark, folder):
+    """The files of a run, counted as they were written; the debug lines are appended to."""
+    out = files.write_outputs(table(spark, folder, "results"), work_folder(spark, "outputs"))
+    for _ in range(2):
+        files.append_json(table(spark, folder, "region"), out["stats"] + "-debug")
+    flat = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(out["top_actions"] + "_csv").count()
+    s = spark.read.json(out["stats"])
+    return s.select("records", "errors", "action_rows", "block_rows", F.lit(spark.read.json(out["candidate_blocks"]).count()).cast("bigint").alias("block_lines"), F.lit(flat).cast("bigint").alias("action_lines"), F.lit(spark.read.json(out["stats"] + "-debug").count()).cast("bigint").alias("debug_lines"))
+
+
+QUERIES = {f.__name__: f for f in (samples_loaded, samples_drawn, event_windows, event_windows_stream, stateful_coef_stream, stream_filter, jsonl_round_trip, csv_round_trip, split_scan, outputs_written)}
 
 _STRIP = "regexp_replace({x}, '^[\\s\\p{{Z}}\\x{{85}}]+|[\\s\\p{{Z}}\\x{{85}}]+$', '', 'g')"
 _W = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
@@ -59,4 +94,9 @@ SELECT CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) ELSE 'sample-' || l
     "event_windows_stream": _W,
     "stateful_coef_stream": "SELECT user_id, count(*) AS steps, round(0.2::DOUBLE * (1 + least(greatest(avg(value) / 10 - 1, -0.2::DOUBLE), 0.2::DOUBLE) * count(*) / 100), 9) AS coefficient FROM events GROUP BY user_id",
     "stream_filter": "SELECT event_id, user_id FROM events WHERE event_type = 'error'",
+    "jsonl_round_trip": "SELECT sample_id, CAST(len(rubrics) AS INTEGER) AS n, rubrics[1].criterion AS criterion, maximum_score FROM rubrics",
+    "csv_round_trip": "SELECT sample_id, md5(coalesce(question, '')) AS question, choices IS NOT NULL AS has_choices, '' AS none FROM samples",
+    "split_scan": "SELECT c_custkey, c_name, CASE WHEN c_custkey % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM customer",
+    "outputs_written": """WITH o AS (SELECT CAST(sum(coalesce(len(top_actions), 0)) FILTER (error IS NULL) AS BIGINT) AS a, CAST(sum(coalesce(len(candidate_blocks), 0)) FILTER (error IS NULL) AS BIGINT) AS b FROM results)
+SELECT count(*) AS records, count(error) AS errors, CAST(sum(coalesce(len(top_actions), 0)) AS BIGINT) AS action_rows, CAST(sum(coalesce(len(candidate_blocks), 0)) AS BIGINT) AS block_rows, any_value(b) AS block_lines, any_value(a) AS action_lines, 2 * (SELECT count(*) FROM region) AS debug_lines FROM results, o""",
 }

@@ -62,6 +62,24 @@ def token_rewards(
     return d.withColumn(out, last_valid_reward(F.col("score"), F.coalesce(F.col(length), F.lit(0))))
 
 
+class Teacher(Protocol):
+    """Adds column `teacher_answers`, an array of texts, to a table with column `prompt`."""
+
+    def __call__(self, df: DataFrame) -> DataFrame: ...
+
+
+class RubricWriter(Protocol):
+    """Adds column `payload`, a rubric as JSON text, to a table with columns `prompt` and `teacher_answers`."""
+
+    def __call__(self, df: DataFrame) -> DataFrame: ...
+
+
+class Attributor(Protocol):
+    """Adds column `payload`, attributions as JSON text, to a table with column `prompt`."""
+
+    def __call__(self, df: DataFrame) -> DataFrame: ...
+
+
 class Verifier(Protocol):
     """Adds column `payload`, a judgement as JSON text, to a table with column `prompt`."""
 

@@ -86,13 +86,13 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
-    """Fixed columns with a header; missing ones and nulls are empty, nested ones JSON."""
+    """Fixed columns with a header; missing ones and nulls are empty, nested ones JSON. Outer blanks of texts stay."""
     kinds = dict(df.dtypes)
     cols = []
     for f in fields:
         c = F.lit("") if f not in kinds else F.to_json(f) if kinds[f].startswith(("array", "struct", "map")) else F.col(f).cast("string")
         cols.append(F.coalesce(c, F.lit("")).alias(f))
-    df.select(*cols).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    df.select(*cols).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_outputs(results: DataFrame, folder: str, shown: int = 20) -> dict[str, str]:
