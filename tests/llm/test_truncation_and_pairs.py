@@ -129,6 +129,8 @@ def test_longer_versions_and_limits_decide_by_themselves():
         assert pairs.is_truncated("First, write the area in terms of", "5", 0.0, **evidence) and not pairs.is_truncated("First, write the area in terms of", "5", 0.0)
     assert not pairs.is_truncated("So it is 5.", "7", 0.0, at_limit=True)  # a whole ending
     assert not pairs.is_truncated("First, it is the\nAnswer: 21.5", "21.5", 1.0, True, True)  # the whole expected answer
+    for lone in ("Answer: 33", "17.", "∴ 4", "\\boxed{6}"):  # each begins a longer answer by chance
+        assert not pairs.is_truncated(lone, "N/A", 0.1, goes_on=True)
     assert not pairs.is_truncated("Rotor", "7", 0.1, goes_on=True) and pairs.is_truncated("Rotor", "7", 0.3, goes_on=True)
     assert not pairs.is_truncated(None, None, None) and not pairs.is_truncated("", "5", None, True, True)
 

@@ -278,13 +278,13 @@ def _goes_on(text: pd.Series, longer: pd.Series) -> pd.Series:
 
 def is_truncated(response: str | None, gold: str | None, p: float | None, at_limit: bool = False, goes_on: bool = False, threshold: float = cut.THRESHOLD) -> bool:
     """A longer version goes on where the response ends, the response stands at a limit without a whole ending, or problem
-    4's probability p is at the threshold; but not if it ends with its whole expected answer. A lone phrase may
-    begin a longer text by chance, so there half the threshold is asked for as well."""
+    4's probability p is at the threshold; but not if it ends with its whole expected answer. A lone phrase or
+    answer line may begin a longer text by chance, so there half the threshold is asked for as well."""
     if not response or cut.ends_with_gold(response, gold):
         return False
     if goes_on:
-        core, _ = cut.core_of(response)
-        if not core or cut.kind_of(cut.lines_of(core)) != "only":
+        lines = cut.lines_of(cut.core_of(response)[0])
+        if len(lines) > 1 or cut.kind_of(lines) == "prose":
             return True
         threshold /= 2
     return (at_limit and not has_whole_ending(response, gold)) or (p or 0.0) >= threshold

@@ -156,6 +156,8 @@ def features(text: str, gold: str | None, at_limit: bool) -> list[int]:
     f += [f"s{k} {plain[-k:]}" for k in (1, 2, 3, 4, 6)]
     f += [f"w{k} {kind if k == 1 else ''} {' '.join((['^'] + words)[-k:])}" for k in (1, 2, 3)]
     f += [f"w2 {' '.join((['^'] + words)[-2:])}", f"tail {min(len(tail.split()), 8)} {ends}"]
+    opening = _WORD.findall(tail.lower())[:1] if ends.split("-")[-1] != "stop" else []
+    f += [f"opens with {kind} {w}" for w in opening]
     if len(plain) <= 28:
         f.append(f"line {kind} {plain}")
         f.append(f"shape {kind} {''.join('A' if w[0].isalpha() else w[0] for w in words)[:8]}")
