@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.session import settle
+
 BUCKETS = 4096
 STEPS = 16
 POWER = 0.5
@@ -86,8 +88,9 @@ def mix(
     d = d.join(keys, d["__s"] == F.col("__k"), "left_semi")
     weight = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double")) * STEPS) * (power / STEPS))
     d = d.withColumn("__w", F.when(F.col("n_tokens") > 0, weight).otherwise(F.lit(0.0)))
-    need = _targets(d, targets)
-    rates = _rates(d, need)
+    # Small tables that several steps read: written once, which also keeps the plans small.
+    need = settle(_targets(d, targets))
+    rates = settle(_rates(d, need))
     # What the certain copies leave open of each target, in tokens.
     whole = F.floor(F.col("__mean") + 1e-9).cast("int")
     j = d.join(F.broadcast(rates), ["__s", "__w"], "left").join(F.broadcast(need.select(F.col("__k").alias("__s"), F.col("source").alias("__name"))), "__s")
@@ -107,7 +110,7 @@ def mix(
         F.coalesce(F.min(F.when(F.col("__to") > F.col("__r"), F.col("__b"))), F.lit(buckets)).alias("__eb"), F.first("__r").alias("__r"),
         F.min(F.when(F.col("__to") > F.col("__r"), F.col("__from"))).alias("__ef"),
     )
-    j = j.join(F.broadcast(edge), "__s", "left")  # at most a row for each target
+    j = j.join(F.broadcast(settle(edge)), "__s", "left")  # at most a row for each target
     out = ["__id", "__name", "n_tokens", "__mean"]
     inside = F.coalesce(F.col("__b") == F.col("__eb"), F.lit(False))
     below = F.coalesce(F.col("__b") < F.col("__eb"), F.lit(False))
